@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import components, packing, tokens
+from factloom.llm import canonical_names, components, packing, tokens
 from factloom.sources.tables import table
 
 
@@ -14,6 +14,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return components.corroboration_groups(table(spark, d, "relationships"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical_names.mapped_names(table(spark, d, "facts"), table(spark, d, "canonical_entities"), table(spark, d, "canonical_attributes"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_documents(table(spark, d, "documents"))
 
@@ -23,7 +27,7 @@ def p7_packed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p6_ids": p6_ids, "p7_packed": p7_packed}
+    return {"p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_packed": p7_packed}
 
 
 ORACLE_SQL: dict[str, str] = {
