@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.operators import nested
+from factloom.operators import nested, quantities
 from factloom.sources.tables import table
 
 
@@ -18,8 +18,16 @@ def p1_values(spark: SparkSession, d: str) -> DataFrame:
     return nested.child_values(table(spark, d, "facts"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return quantities.common_amounts(table(spark, d, "facts"), table(spark, d, "unit_catalog"))
+
+
+def p3_review(spark: SparkSession, d: str) -> DataFrame:
+    return quantities.convert(table(spark, d, "facts"), table(spark, d, "unit_catalog")).filter("how in ('predicted', 'review')").select("fact_id", "how", "predicted_unit", "confidence", "proposed_amount")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_values": p1_values}
+    return {"p1_found": p1_found, "p1_values": p1_values, "p3_found": p3_found, "p3_review": p3_review}
 
 
 ORACLE_SQL: dict[str, str] = {}
