@@ -65,3 +65,22 @@ def parallel(spark: SparkSession, df: DataFrame, *by: str) -> DataFrame:
     """Spreads a table that sits in fewer files than there are cores over all of them, for steps heavy in CPU."""
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores, *by) if df.rdd.getNumPartitions() < cores else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package: sends it to the executors once, unless their path has it already."""
+    import os
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    root = Path(__file__).resolve().parent
+    paths = [Path(p or ".").resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root.parent in paths or getattr(sc, "_factloom_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="factloom-")) / "factloom.zip"  # Spark serves the file to the executors
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._factloom_shipped = True
