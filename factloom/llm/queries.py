@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import canonical_names, components, packing, tokens
+from factloom.llm import canonical_names, components, history, packing, tokens
 from factloom.sources.tables import table
 
 
+def _lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, d, "canonical_entities"), table(spark, d, "canonical_attributes"), table(spark, d, "unit_catalog")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return history.repeats(table(spark, d, "facts"), *_lists(spark, d))
+
+
+def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return history.clusters(history.link_all(table(spark, d, "facts"), *_lists(spark, d))[1])
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return components.corroboration_groups(table(spark, d, "relationships"))
 
@@ -27,7 +39,7 @@ def p7_packed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_packed": p7_packed}
+    return {"p2_found": p2_found, "p2_clusters": p2_clusters, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_packed": p7_packed}
 
 
 ORACLE_SQL: dict[str, str] = {
