@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import canonical_names, components, history, packing, tokens
+from factloom.llm import canonical_names, components, history, packing, residue, tokens
 from factloom.sources.tables import table
 
 
@@ -38,8 +38,12 @@ def p7_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.find_residue(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_clusters": p2_clusters, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_packed": p7_packed}
+    return {"p2_found": p2_found, "p2_clusters": p2_clusters, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_found": p8_found}
 
 
 ORACLE_SQL: dict[str, str] = {
