@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factloom.functions import amounts
-from factloom.session import materialize
+from factloom.session import hash_sample, materialize
 
 #: Bound of the labelled sample that the forest is fitted on.
 TRAINING_ROWS = 12_000
@@ -116,7 +116,7 @@ class UnitModel:
 
     def __init__(self, labelled: DataFrame, seed: int = 7):
         spark = labelled.sparkSession
-        sample = materialize(_features(labelled.orderBy(F.xxhash64("fact_id"), "seq").limit(TRAINING_ROWS)), "unit-sample")
+        sample = materialize(_features(hash_sample(labelled, TRAINING_ROWS, "fact_id")), "unit-sample")
         part = F.pmod(F.xxhash64("fact_id", F.lit("part")), F.lit(1000)) < int(1000 * HELD_OUT)
         fit, held = sample.filter(~part), sample.filter(part)
         self.classes: list[str] = [r[0] for r in sample.select("common_unit").distinct().orderBy("common_unit").collect()]
