@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import residue_text
+from factloom.session import hash_sample
 
 #: Bound of the sample from which the classifier is fitted and checked.
 SAMPLE_ROWS = 3_000
@@ -223,7 +224,7 @@ def train(documents: DataFrame) -> Trained:
     The report gives precision and recall against the weak labels on unseen hosts at the threshold. Without both labels in the
     sample there is no model, and every text is checked exactly.
     """
-    sample = documents.filter(F.trim("text") != "").select("document_id", "text").orderBy(F.xxhash64("doc_id")).limit(SAMPLE_ROWS).toPandas()  # a bounded sample
+    sample = hash_sample(documents.select("doc_id", "document_id", "text").filter(F.trim("text") != ""), SAMPLE_ROWS, "doc_id").toPandas()  # a bounded sample
     texts = sample["text"].tolist()
     f = features(pa.array(texts, pa.string()))
     memo: dict[str, int] = {}
