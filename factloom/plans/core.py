@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.operators import nested, quantities
+from factloom.plans import catalogue
 from factloom.sources.tables import table
 
 
@@ -27,7 +28,7 @@ def p3_review(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_values": p1_values, "p3_found": p3_found, "p3_review": p3_review}
+    return catalogue.QUERIES | {"p1_found": p1_found, "p1_values": p1_values, "p3_found": p3_found, "p3_review": p3_review}
 
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(catalogue.ORACLE_SQL)
