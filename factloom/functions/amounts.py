@@ -92,6 +92,7 @@ class Phrase:
     unit: str | None
     clash: bool  # two different units or scales
     rest: str  # words that say neither
+    bare_m: bool = False  # the unit is "metre" only because of a lone "m"
 
 
 def _lexicon() -> tuple[re.Pattern, dict[str, tuple[str, str]]]:
@@ -133,16 +134,23 @@ def read_phrase(text: str) -> Phrase:
         if units:
             short.append("b")
             rest = re.sub(r"(?<!\w)b(?!\w)", " ", rest, count=1)
+    bare_m = False
     for w in short:  # "m": million beside another unit, else metre
         if w == "b" or units:
             scales.append(SHORT_SCALES[w])
         else:
             units.append("metre")
+            bare_m = True
     if scales == ["lakh", "crore"] or scales == ["lakh_crore"] or scales[:2] == ["lakh", "crore"]:
         scales = ["lakh_crore"]
     left = " ".join(w for w in re.findall(r"[^\W_]+|[^\w\s]", rest) if w not in FILLERS and w not in "()[]")
     us, ss = list(dict.fromkeys(units)), list(dict.fromkeys(scales))
-    return Phrase(ss[0] if ss else None, us[0] if us else None, len(us) > 1 or len(ss) > 1, left)
+    return Phrase(ss[0] if ss else None, us[0] if us else None, len(us) > 1 or len(ss) > 1, left, bare_m)
+
+
+def as_million(p: Phrase) -> Phrase:
+    """The other reading of a lone "m"."""
+    return Phrase("million", None, p.scale is not None, p.rest)
 
 
 @dataclass(frozen=True)

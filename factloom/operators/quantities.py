@@ -59,12 +59,19 @@ def read_fact(value: str | None, unit: str | None, statement: str | None, window
         beside = amounts.read_phrase(amounts.plain(unit))
     else:
         beside = amounts.Phrase(None, None, False, "")
+    near = None
+    if own.bare_m and not beside.unit:
+        near = amounts.beside(statement, got.number)
+    if own.bare_m and (beside.unit not in (None, "metre") or near and near.unit != "metre"):
+        own = amounts.as_million(own)
+    if beside.bare_m and own.unit not in (None, "metre"):
+        beside = amounts.as_million(beside)
     if own.clash or beside.clash or (own.unit and beside.unit and own.unit != beside.unit):
         return got.number, None, None, None, True
     scale = own.scale or beside.scale
     if own.unit or beside.unit:
         return got.number, scale, own.unit or beside.unit, "stated", False
-    near = amounts.beside(statement, got.number)
+    near = near or amounts.beside(statement, got.number)
     if near:
         return got.number, scale or near.scale, near.unit, "sentence", False
     note = amounts.general_note(window)
