@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import units
+from factloom.session import materialize
 
 #: Relative difference up to which two values agree.
 TOLERANCE = 0.01
@@ -52,11 +53,16 @@ def entries(scope_json: Column) -> Column:
     return F.array_sort(F.map_entries(F.from_json(scope_json, "map<string,string>")))
 
 
-def equivalent_scopes(a: Column, b: Column) -> Column:
-    va, vb = scope_values(a), scope_values(b)
-    ya, yb, qa, qb = scope_year(va), scope_year(vb), scope_quarter(va), scope_quarter(vb)
+def scope_marks(scope_json: Column) -> Column:
+    """What scopes are compared by: ``struct<entries, year, quarter, members>``. Computed once per fact, before pairs are made."""
+    values = scope_values(scope_json)
+    return F.struct(entries(scope_json).alias("entries"), scope_year(values).alias("year"), scope_quarter(values).alias("quarter"), F.size(values).alias("members"))
+
+
+def same_marks(a: Column, b: Column) -> Column:
+    ya, yb, qa, qb = a["year"], b["year"], a["quarter"], b["quarter"]
     return (
-        F.when(F.coalesce(entries(a) == entries(b), F.lit(False)), F.lit(True))
+        F.when(F.coalesce(a["entries"] == b["entries"], F.lit(False)), F.lit(True))
         .when(ya.isNotNull() & yb.isNotNull() & (ya != yb), F.lit(False))
         .when(qa.isNotNull() & qb.isNotNull() & (qa != qb), F.lit(False))
         .when(qa.isNotNull() != qb.isNotNull(), F.lit(False))
@@ -64,8 +70,13 @@ def equivalent_scopes(a: Column, b: Column) -> Column:
     )
 
 
+def equivalent_scopes(a: Column, b: Column) -> Column:
+    """Whether two scopes (JSON objects) mean the same time: equal, or the same year and no quarter or the same on both sides."""
+    return same_marks(scope_marks(a), scope_marks(b))
+
+
 def verdict(a: str, b: str, block_cross_currency: bool = False) -> Column:
-    """The rule on two normalised facts with columns ``{a}_value, {a}_unit, {a}_ok, {a}_scope`` (and ``{a}_currency``): ``corroborates``,
+    """The rule on two normalised facts with columns ``{a}_value, {a}_unit, {a}_ok, {a}_marks`` (and ``{a}_currency``): ``corroborates``,
     ``reconciled``, or null where a judge must decide.
 
     By default facts in two currencies are compared by their numbers; ``block_cross_currency`` defers them.
@@ -76,23 +87,24 @@ def verdict(a: str, b: str, block_cross_currency: bool = False) -> Column:
 
     va, vb = col(a, "value"), col(b, "value")
     same_unit = col(a, "unit").eqNullSafe(col(b, "unit"))
-    empty = (F.size(scope_values(col(a, "scope"))) == 0) | (F.size(scope_values(col(b, "scope"))) == 0)
+    empty = (col(a, "marks")["members"] == 0) | (col(b, "marks")["members"] == 0)
     defer = ~F.coalesce(col(a, "ok"), F.lit(False)) | ~F.coalesce(col(b, "ok"), F.lit(False)) | va.isNull() | vb.isNull() | (~same_unit & (F.abs(va) < 1000)) | ~within_tolerance(va, vb) | empty
     if block_cross_currency:
         defer = defer | F.coalesce(col(a, "currency") != col(b, "currency"), F.lit(False))
-    return F.when(~F.coalesce(defer, F.lit(True)), F.when(equivalent_scopes(col(a, "scope"), col(b, "scope")), "corroborates").otherwise("reconciled"))
+    return F.when(~F.coalesce(defer, F.lit(True)), F.when(same_marks(col(a, "marks"), col(b, "marks")), "corroborates").otherwise("reconciled"))
 
 
 def normalised_side(facts: DataFrame, side: str) -> DataFrame:
     """Columns of one side of a pair, prefixed."""
-    n = units.normalized(F.col("value"), F.col("unit"))
-    return facts.withColumn("n", n).select(F.col("fact_id").alias(f"{side}_id"), F.col("n.normalized_value").alias(f"{side}_value"), F.col("n.normalized_unit").alias(f"{side}_unit"), F.col("n.currency").alias(f"{side}_currency"), F.col("n.parse_ok").alias(f"{side}_ok"), F.col("scope").alias(f"{side}_scope"))
+    n = facts.select("fact_id", units.normalized(F.col("value"), F.col("unit")).alias("n"), scope_marks(F.col("scope")).alias("marks"))
+    return n.select(F.col("fact_id").alias(f"{side}_id"), F.col("n.normalized_value").alias(f"{side}_value"), F.col("n.normalized_unit").alias(f"{side}_unit"), F.col("n.currency").alias(f"{side}_currency"), F.col("n.parse_ok").alias(f"{side}_ok"), F.col("marks").alias(f"{side}_marks"))
 
 
 def judge_pairs(pairs: DataFrame, facts: DataFrame, block_cross_currency: bool = False) -> DataFrame:
     """``fact_id_a, fact_id_b, rule_verdict`` for pairs ``fact_id_a, fact_id_b``; null verdicts are the judge's queue. Pairs with an
     id that the facts lack are left out."""
-    a, b = normalised_side(facts, "a"), normalised_side(facts, "b")
+    every = materialize(normalised_side(facts, "a"), "sides")  # each fact is normalised once, however many pairs it is in
+    a, b = every, every.withColumnsRenamed({c: f"b{c[1:]}" for c in every.columns})
     joined = pairs.select(F.col("fact_id_a").alias("a_id"), F.col("fact_id_b").alias("b_id")).join(a, "a_id").join(b, "b_id")
     return joined.select(F.col("a_id").alias("fact_id_a"), F.col("b_id").alias("fact_id_b"), verdict("a", "b", block_cross_currency).alias("rule_verdict"))
 

@@ -667,9 +667,9 @@ def within_tolerance(s, d):
 
 @query("equivalent_scopes", "edges scoped", f"WITH {_SIDE} SELECT e.fact_id_a, e.fact_id_b, {_EQUIV} AS same FROM edges e JOIN sided a ON a.fact_id = e.fact_id_a JOIN sided b ON b.fact_id = e.fact_id_b")
 def equivalent_scopes(s, d):
-    f = _scoped(s, d).select("fact_id", "scope")
-    e = _edges(s, d).select("fact_id_a", "fact_id_b").join(f.toDF("fact_id_a", "sa"), "fact_id_a").join(f.toDF("fact_id_b", "sb"), "fact_id_b")
-    return e.select("fact_id_a", "fact_id_b", compare.equivalent_scopes(F.col("sa"), F.col("sb")).alias("same"))
+    f = _scoped(s, d).select("fact_id", compare.scope_marks(F.col("scope")).alias("m"))
+    e = _edges(s, d).select("fact_id_a", "fact_id_b").join(f.toDF("fact_id_a", "ma"), "fact_id_a").join(f.toDF("fact_id_b", "mb"), "fact_id_b")
+    return e.select("fact_id_a", "fact_id_b", compare.same_marks(F.col("ma"), F.col("mb")).alias("same"))
 
 
 @query("deterministic_reconcile", "edges scoped", f"WITH {_SIDE}, {_RULE} SELECT * FROM rule")
