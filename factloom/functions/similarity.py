@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((norm(a) > 0) & (norm(b) > 0), dot / (norm(a) * norm(b))).otherwise(0.0)
 
 
-def _initials(c: Column) -> Column:
+def initials_of(c: Column) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(c, F.lit("([a-zA-Z]+)"), 1), lambda w: F.upper(F.substring(w, 1, 1))), "")
 
 
@@ -25,8 +27,8 @@ def _all_upper(c: Column) -> Column:
 
 def acronym_match(a: Column, b: Column) -> Column:
     """One side is written in capitals only, has two letters at least and is made of the first letters of the other side's words."""
-    left = _all_upper(a) & (F.length(a) >= 2) & ~_all_upper(b) & (_initials(b) == a)
-    right = _all_upper(b) & (F.length(b) >= 2) & ~_all_upper(a) & (_initials(a) == b)
+    left = _all_upper(a) & (F.length(a) >= 2) & ~_all_upper(b) & (initials_of(b) == a)
+    right = _all_upper(b) & (F.length(b) >= 2) & ~_all_upper(a) & (initials_of(a) == b)
     return F.coalesce(left | right, F.lit(False))
 
 
@@ -70,3 +72,23 @@ def token_set_score(a: str | None, b: str | None) -> float:
 @F.pandas_udf(DoubleType())
 def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_score(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+
+
+def initials(name: str) -> str:
+    return "".join(w[0].upper() for w in re.findall("[a-zA-Z]+", name))
+
+
+def lexical_match(name: str, known: str) -> str | None:
+    """``acronym``, ``words`` or ``beginning``: the first of the three rules by which two names match, or None."""
+
+    def upper(x: str) -> bool:
+        return x.upper() == x and x.lower() != x
+
+    if (upper(name) and len(name) >= 2 and not upper(known) and initials(known) == name) or (upper(known) and len(known) >= 2 and not upper(name) and initials(name) == known):
+        return "acronym"
+    if token_set_score(name, known) > 90.0:
+        return "words"
+    x, y = name.lower(), known.lower()
+    if min(len(x), len(y)) >= 5 and (x.startswith(y) or y.startswith(x)):
+        return "beginning"
+    return None

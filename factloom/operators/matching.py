@@ -10,30 +10,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import similarity
+from factloom.operators import knn
 
 THRESHOLD = 0.85
 TOKEN_SET = 90.0
-#: A registry of so many entries at most is broadcast.
-BROADCAST_ENTRIES = 20_000
-
-
-def _registry(registry: DataFrame) -> DataFrame:
-    return F.broadcast(registry) if registry.count() <= BROADCAST_ENTRIES else registry
+#: Entries per block of a registry. A registry is small by nature; a larger one is met block by block.
+BLOCK = 2_000
 
 
 def resolve(names: DataFrame, registry: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``name, resolved, score`` for distinct ``names(name, embedding)``: the most similar entry from the threshold on, ties to the
     earliest; else the name itself with 1.0. Blank names give an empty result with 0.0.
 
-    Names meet the registry (``seq, name, embedding``), which is small by nature and broadcast below a checked size.
+    Names meet the registry (``seq, name, embedding``) in matrix products of blocks.
     """
-    entries = registry.select("seq", F.col("name").alias("known"), F.col("embedding").alias("known_vector"))
-    scored = names.join(_registry(entries)).withColumn("s", F.round(similarity.cosine(F.col("embedding"), F.col("known_vector")), 9))
-    best = scored.groupBy("name").agg(F.max(F.struct("s", (-F.col("seq")).alias("neg"), "known")).alias("m"))
-    out = names.select("name").join(best, "name", "left")
-    hit = F.col("m.s") >= threshold
+    keyed = names.select(F.xxhash64("name").alias("id"), F.lit(1).alias("grp"), "embedding").filter(F.trim("name") != "")
+    base = registry.select(F.col("seq").alias("id"), F.lit(0).alias("grp"), "embedding")
+    best = knn.top_k(keyed, base, 1, "other_group").select(F.col("query_id").alias("id"), F.col("neighbour_id").alias("seq"), F.col("similarity").alias("s")).filter(F.col("s") >= threshold)
+    known = best.join(registry.select("seq", F.col("name").alias("known")), "seq")
+    out = names.select("name", F.xxhash64("name").alias("id")).join(known, "id", "left")
     blank = F.trim("name") == ""
-    return out.select("name", F.when(blank, "").when(hit, F.col("m.known")).otherwise(F.trim("name")).alias("resolved"), F.when(blank, 0.0).when(hit, F.col("m.s")).otherwise(1.0).alias("score"))
+    return out.select("name", F.when(blank, "").otherwise(F.coalesce("known", F.trim("name"))).alias("resolved"), F.when(blank, 0.0).otherwise(F.coalesce("s", F.lit(1.0))).alias("score"))
+
+
+def _against_registry(names: DataFrame, registry: DataFrame) -> DataFrame:
+    """Each name with each block of the registry: ``name, entries``."""
+    blocks = max(1, -(-registry.count() // BLOCK))
+    packed = registry.filter("name is not null").groupBy(F.pmod(F.xxhash64("seq"), F.lit(blocks)).alias("block")).agg(F.array_sort(F.collect_list(F.struct("seq", "name"))).alias("entries"))
+    return names.select("name", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block")).join(packed, "block").select("name", "entries")
 
 
 def snap(names: DataFrame, registry: DataFrame) -> DataFrame:
@@ -41,16 +45,51 @@ def snap(names: DataFrame, registry: DataFrame) -> DataFrame:
 
     ``names(name)`` are distinct; blank names stay as they are.
     """
-    entries = registry.select("seq", F.col("name").alias("known"))
-    pairs = names.filter(F.trim("name") != "").join(_registry(entries))
-    acr = similarity.acronym_match(F.col("name"), F.col("known"))
-    pre = similarity.prefix_match(F.col("name"), F.col("known"))
-    tok = similarity.token_set_ratio("name", "known") > TOKEN_SET
-    how = F.when(acr, "acronym").when(tok, "words").when(pre, "beginning")
-    hit = pairs.withColumn("how", how).filter("how is not null").groupBy("name").agg(F.min(F.struct("seq", "known", "how")).alias("m"))
+
+    @F.pandas_udf("struct<seq:bigint,known:string,how:string>")
+    def first(name: pd.Series, entries: pd.Series) -> pd.DataFrame:
+        rows = []
+        for n, held in zip(name, entries, strict=True):
+            hit = next(((e["seq"], e["name"], how) for e in held if (how := similarity.lexical_match(n, e["name"]))), (None, None, None))
+            rows.append(hit)
+        return pd.DataFrame(rows, columns=["seq", "known", "how"]).astype({"seq": "Int64"})
+
+    pairs = _against_registry(names.filter(F.trim("name") != ""), registry)
+    hit = pairs.select("name", first("name", "entries").alias("m")).filter("m.seq is not null").groupBy("name").agg(F.min(F.struct("m.seq", "m.known", "m.how")).alias("m"))
     return names.join(hit, "name", "left").select("name", F.coalesce("m.known", "name").alias("snapped"), F.coalesce("m.how", F.lit("none")).alias("how"))
 
 
+def similar_words(names: DataFrame, registry: DataFrame, least: float = TOKEN_SET) -> DataFrame:
+    """``name, seq, score``: entries whose words score more than ``least``."""
+
+    @F.pandas_udf("array<struct<seq:bigint,score:double>>")
+    def near(name: pd.Series, entries: pd.Series) -> pd.Series:
+        out = []
+        for n, held in zip(name, entries, strict=True):
+            scored = [(int(e["seq"]), similarity.token_set_score(n, e["name"])) for e in held]
+            out.append([{"seq": q, "score": x} for q, x in scored if x > least])
+        return pd.Series(out)
+
+    pairs = _against_registry(names.filter(F.trim("name") != ""), registry)
+    return pairs.select("name", F.explode(near("name", "entries")).alias("m")).select("name", "m.seq", "m.score")
+
+
+def acronym_pairs(names: DataFrame, registry: DataFrame) -> DataFrame:
+    """``name, seq`` of names and entries of which one is the other's acronym: two joins on the letters."""
+    k = registry.select("seq", F.col("name").alias("known"))
+    left = names.select("name").join(k.withColumn("letters", similarity.initials_of(F.col("known"))), F.col("name") == F.col("letters"))
+    right = names.select("name", similarity.initials_of(F.col("name")).alias("letters")).join(k, F.col("letters") == F.col("known"))
+    both = left.select("name", "seq", "known").unionByName(right.select("name", "seq", "known"))
+    return both.filter(similarity.acronym_match(F.col("name"), F.col("known"))).select("name", "seq").distinct()
+
+
+def prefix_pairs(names: DataFrame, registry: DataFrame) -> DataFrame:
+    """``name, seq`` of names and entries of which one begins with the other: a join on the first five letters."""
+    k = registry.select("seq", F.col("name").alias("known"), F.lower(F.substring("name", 1, 5)).alias("head"))
+    n = names.select("name", F.lower(F.substring("name", 1, 5)).alias("head"))
+    return n.join(k, "head").filter(similarity.prefix_match(F.col("name"), F.col("known"))).select("name", "seq")
+
+
 def grow_registry(names: DataFrame, registry: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``seq, name``: the registry after all names have come in their order.
 

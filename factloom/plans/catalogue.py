@@ -425,24 +425,23 @@ _INIT = "array_to_string(list_transform(regexp_extract_all({0}, '[a-zA-Z]+'), la
 _UP = "(upper({0}) = {0} AND lower({0}) <> {0})"
 
 
-def _attribute_pairs(s, d):
-    n = _names(s, d, "raw_attribute").filter(F.trim("name") != "").select("name")
-    return n.join(F.broadcast(table(s, d, "canonical_attributes").select("seq", F.col("name").alias("known"))))
+def _attribute_names(s, d) -> tuple[DataFrame, DataFrame]:
+    return _names(s, d, "raw_attribute").filter(F.trim("name") != "").select("name"), table(s, d, "canonical_attributes").select("seq", "name")
 
 
 @query("acronym_match", "", f"WITH {_PAIRS} SELECT name, seq FROM pairs WHERE ({_UP.format('name')} AND length(name) >= 2 AND NOT {_UP.format('known')} AND {_INIT.format('known')} = name) OR ({_UP.format('known')} AND length(known) >= 2 AND NOT {_UP.format('name')} AND {_INIT.format('name')} = known)")
 def acronym_match(s, d):
-    return _attribute_pairs(s, d).filter(similarity.acronym_match(F.col("name"), F.col("known"))).select("name", "seq")
+    return matching.acronym_pairs(*_attribute_names(s, d))
 
 
 @query("prefix_match", "", f"WITH {_PAIRS} SELECT name, seq FROM pairs WHERE least(length(name), length(known)) >= 5 AND (starts_with(lower(name), lower(known)) OR starts_with(lower(known), lower(name)))")
 def prefix_match(s, d):
-    return _attribute_pairs(s, d).filter(similarity.prefix_match(F.col("name"), F.col("known"))).select("name", "seq")
+    return matching.prefix_pairs(*_attribute_names(s, d))
 
 
 @query("token_set_ratio")
 def token_set_ratio(s, d):
-    return _attribute_pairs(s, d).withColumn("score", F.round(similarity.token_set_ratio("name", "known"), 4)).filter(F.col("score") > matching.TOKEN_SET).select("name", "seq", "score")
+    return matching.similar_words(*_attribute_names(s, d)).withColumn("score", F.round("score", 4))
 
 
 @query("attribute_snap")
@@ -761,7 +760,7 @@ def relationship_examples(s, d):
     w = Window.partitionBy("relationship_type").orderBy("fact_id_a", "fact_id_b")
     top = e.select("relationship_type", "fact_id_a", "fact_id_b", F.row_number().over(w).alias("nth")).filter("nth <= 3")
     n = e.groupBy(F.col("relationship_type").alias("t")).agg(F.count("*").alias("n"))
-    return top.join(F.broadcast(n), F.col("relationship_type").eqNullSafe(F.col("t"))).drop("t")
+    return top.join(n, F.col("relationship_type").eqNullSafe(F.col("t"))).drop("t")
 
 
 @query("confidence_pips", "store", "SELECT fact_id, floor(confidence * 5 + 0.5)::BIGINT AS pips FROM store")
