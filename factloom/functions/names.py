@@ -47,7 +47,8 @@ def words_of(raw: str | None) -> list[str]:
 
 
 def _split(s: str) -> list[str]:
-    return re.findall(r"[^\W_]+\.?", re.sub(r"[&]", " and ", s).replace("'", ""), re.UNICODE)
+    # "Non-.": a word of two parts that was cut at the hyphen; the second part may be any
+    return re.findall(r"[^\W_]+\.?|~\.", re.sub(r"[&]", " and ", s).replace("'", "").replace("-.", " ~."), re.UNICODE)
 
 
 def readings(raw: str | None) -> list[list[str]]:
@@ -97,6 +98,26 @@ def edits(a: str, b: str, most: int) -> int:
     return min(last[-1], most + 1)
 
 
+def _unrestricted(a: str, b: str) -> int:
+    """Damerau-Levenshtein distance where letters may also swap places across a letter that was lost."""
+    far = len(a) + len(b)
+    seen: dict[str, int] = {}
+    d = [[far] * (len(b) + 2) for _ in range(len(a) + 2)]
+    for i in range(len(a) + 1):
+        d[i + 1][1] = i
+    for j in range(len(b) + 1):
+        d[1][j + 1] = j
+    for i, x in enumerate(a, 1):
+        hit = 0
+        for j, y in enumerate(b, 1):
+            k, m = seen.get(y, 0), hit
+            if x == y:
+                hit = j
+            d[i + 1][j + 1] = min(d[i][j] + (x != y), d[i + 1][j] + 1, d[i][j + 1] + 1, d[k][m] + (i - k - 1) + 1 + (j - m - 1))
+        seen[x] = i
+    return d[len(a) + 1][len(b) + 1]
+
+
 def allowed_edits(length: int) -> int:
     """Misspellings that a name of so many letters may have."""
     return 0 if length <= 3 else 1 if length <= 5 else 2 if length <= 16 else 3
@@ -106,12 +127,17 @@ def allowed_edits(length: int) -> int:
 def _word_distance(v: str, c: str) -> float:
     if v == c:
         return 0.0
+    if v == "~.":
+        return 0.05
     if v.endswith("."):
         v = v[:-1]
         if v and c.startswith(v):
             return 0.0 if len(v) == len(c) else 0.05
         return min(9, edits(v, c[: len(v)], 2)) + 0.3 if len(v) >= 3 else 9.0
-    return float(edits(v, c, 3)) if edits(v, c, 3) <= 3 else 9.0
+    d = edits(v, c, 3)
+    if d == 3 and len(c) > 4 and sorted(v) != sorted(c):
+        d = min(d, _unrestricted(v, c))
+    return float(d) if d <= 3 else 9.0
 
 
 def alignment(value: list[str], entry: list[str]) -> float:
