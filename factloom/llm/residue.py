@@ -2,8 +2,8 @@
 
 A regularised linear classifier on hashed word n-grams, length and title features is trained on the parts (lines and
 sentences) of a bounded sample with weak labels (response status, phrases, slots), and checked on hosts that it has not seen. Its threshold is set low on purpose, from the scores of weakly
-labelled residue; every text with a part beyond it is then checked exactly. Scoring is a vectorised array job per Arrow batch:
-no shuffle.
+labelled residue; every text with a part beyond it is then checked exactly, and so is every text below it that has a cue of a slot or
+notice, so that nothing hangs on what the sample holds. Scoring is a vectorised array job per Arrow batch: no shuffle.
 """
 
 from __future__ import annotations
@@ -270,8 +270,10 @@ def find_residue(documents: DataFrame, trained: Trained | None = None) -> DataFr
         for batch in batches:
             for lo, hi in _slices(batch.column(1)):
                 texts = batch.column(1).slice(lo, hi - lo)
-                near = np.flatnonzero(model.score(features(texts), len(texts)) >= model.threshold) if model is not None else np.arange(len(texts))
-                hit = [i for i in near.tolist() if residue_text.is_residue(texts[i].as_py())]
+                near = model.score(features(texts), len(texts)) >= model.threshold if model is not None else np.ones(len(texts), bool)
+                below = np.flatnonzero(~near)
+                near[below] = residue_text.cues(texts.take(pa.array(below)))
+                hit = [i for i in np.flatnonzero(near).tolist() if residue_text.is_residue(texts[i].as_py())]
                 if hit:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(hit))], ["doc_id"])
 
@@ -280,7 +282,7 @@ def find_residue(documents: DataFrame, trained: Trained | None = None) -> DataFr
 
 
 def scores(documents: DataFrame, trained: Trained | None = None) -> DataFrame:
-    """``doc_id, score, beyond``: the classifier's log-odds of each text and whether it is checked exactly."""
+    """``doc_id, score, beyond``: the classifier's log-odds of each text and whether it is checked exactly whatever its cues."""
     held = trained or train(documents)
     model = held.model
 

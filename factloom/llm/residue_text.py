@@ -3,6 +3,12 @@
 from __future__ import annotations
 
 import re
+from itertools import islice
+from operator import eq
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # What stands for a value in a template that was not filled in.
 _FIELD = r"[A-Za-z][\w. /-]{0,40}"
@@ -97,7 +103,17 @@ def parts(text: str) -> list[str]:
     return out
 
 
-_MAY_BE_STATUS = re.compile(r"error|exception|forbidden|request [0-9a-f]{6}|reference [0-9a-f]{6}|file \"|\bat [\w.$]+\(|not found|unauthorized|\bgone\b|(?:^|[\n.!?]\s)\W{0,3}[45]\d\d\W{0,3}(?:$|\n)")
+# A part that is a bare status ends with its number, before a line break, the end of a sentence or furniture that was cut off.
+_BARE_STATUS = r"\b[45]\d\d\b(?:[^\w\r\n]*(?:$|[\r\n\u2028\u2029\x0b\x0c])|[^\w\s]*[.!?।…]\W*\s|\W*(?:skip|back|home|corporate|page|management|©))"
+_MAY_BE_STATUS_TEXT = r"error|exception|forbidden|request [0-9a-f]{6}|reference [0-9a-f]{6}|file \"|\bat [\w.$]+\(|not found|unauthorized|\bgone\b|" + _BARE_STATUS
+_MAY_BE_STATUS = re.compile(_MAY_BE_STATUS_TEXT)
+
+
+def _repeats(words: list[str]) -> bool:
+    """Whether a word comes three times running, or two words twice."""
+    if not any(map(eq, words, islice(words, 2, None))):
+        return False
+    return any(a == b == c for a, b, c in zip(words, words[1:], words[2:], strict=False)) or any(a == c and b == d for a, b, c, d in zip(words, words[1:], words[2:], words[3:], strict=False))
 
 
 def may_have_notice(text: str) -> bool:
@@ -106,12 +122,34 @@ def may_have_notice(text: str) -> bool:
     if any(x in low for x in NOTICE_PHRASES) or "script" in low or "जावास्क्रिप्ट" in low or _JS_WORD.search(low) or _MAY_BE_STATUS.search(low):
         return True
     words = re.findall(r"\w+", low)
-    if len(PSEUDO_LATIN.intersection(words)) >= 2 or "xxx" in low:
-        return True
-    return any(a == b == c for a, b, c in zip(words, words[1:], words[2:], strict=False)) or any(a == c and b == d for a, b, c, d in zip(words, words[1:], words[2:], words[3:], strict=False))
+    return len(PSEUDO_LATIN.intersection(words)) >= 2 or "xxx" in low or _CROSSES.search(low) is not None or _repeats(words)
+
+
+_CROSSES = re.compile(r"(?:\bx+\W+){4}")
 
 
 _JS_WORD = re.compile(r"\bjs\b|java\s+script")
+# The cues of slots and notices for a look at a whole array at once (RE2 has no look-around: each is as wide as or wider than the exact sign).
+_LITERAL = re.compile(r"([\\.^$|()\[\]{}*+?])")
+_SLOT_CUE = (
+    r"\{\{[^{}]*\}\}|[$#]\{[^{}]*\}|<%|\{%|<<|@@|__|%[A-Z][A-Z_.]{2,}%|(?i:<[\s\pZ]*(?:insert|enter|your|add)|\[[\s\pZ]*(?:●|insert|enter|your|add|tbd|tba|tbc|to be)"
+    r"|\[(?:date|amount|name|period|auditor|registrar|entity|revenue|company|fiscal year|report title|pat current|year|title|figure|number)|XX\.X|\{\p{Nd}{1,2}\}|TB[DC]:)|\[\["
+)
+_TEXT_CUE = "(?i)" + "|".join([*(_LITERAL.sub(r"\\\1", x) for x in NOTICE_PHRASES), "script", "जावास्क्रिप्ट", r"\bjs\b", r"java[\s\pZ]+script", "xxx", r"(?:\bx+[^0-9a-z_]+){4}", _MAY_BE_STATUS_TEXT.replace(r"\u2028\u2029", r"\x{2028}\x{2029}").replace(r"\s", r"[\s\pZ]").replace(r"[^\w[\s\pZ]]", r"[^\w\s\pZ]")])
+_LATIN_CUE = r"(?i)\b(?:" + "|".join(sorted(PSEUDO_LATIN)) + r")\b"
+_INVISIBLE_CUE = r"[\x{ad}\x{200b}-\x{200f}\x{2060}\x{feff}]|<\|endoftext\|>"
+
+
+def cues(texts: pa.Array) -> np.ndarray:
+    """Which texts need the exact check: false only where :func:`is_residue` is false. Invisible characters may hide a cue and count as one."""
+    out = np.zeros(len(texts), bool)
+    for cue in (_SLOT_CUE, _TEXT_CUE, _LATIN_CUE, _INVISIBLE_CUE):
+        out |= pc.fill_null(pc.match_substring_regex(texts, cue), False).to_numpy(zero_copy_only=False)
+    for i in np.flatnonzero(~out).tolist():
+        text = texts[i].as_py()
+        out[i] = text is not None and _repeats(re.findall(r"\w+", text.lower()))
+    return out
+
 
 
 def is_residue(text: str | None) -> bool:

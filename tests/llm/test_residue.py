@@ -63,3 +63,12 @@ def test_no_model_or_rows(spark):
     docs = spark.createDataFrame([(1, "h", "Plain text."), (2, "h", None)], "doc_id bigint, document_id string, text string")
     assert residue.train(docs).model is None and residue.find_residue(docs).count() == 0
     assert residue.find_residue(docs.limit(0)).count() == 0
+
+
+def test_found_below_the_threshold(spark):
+    """A model that puts no text beyond its threshold loses nothing."""
+    blind = residue.Trained(residue.LinearModel(np.zeros(1 << residue.BITS, np.float32), np.zeros(residue.EXTRA, np.float32), 1.0), {})
+    more = ["Home > Filings > Results\n404", "पृष्ठ देखें। 503। 503", "x xx x x xx", "Skip to content\r\nfoo - foo - foo - foo", "Paid: {\u200b{ revenue }}."]
+    texts = [*CASES, *more, *CONTENT]
+    got = [r.doc_id for r in residue.find_residue(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), blind).collect()]
+    assert sorted(got) == list(range(len(CASES) + len(more)))
