@@ -204,7 +204,7 @@ class LinearModel:
 def weak_label(part: str) -> int:
     """1: a response status, a phrase of such texts or an open slot; 0: none of them, or the part only speaks of them."""
     bare = residue_text.clean(part)
-    return int(residue_text.open_slot(bare) or residue_text.may_have_notice(bare) and any(residue_text.is_notice(p) and not residue_text.MENTION.search(p) for p in residue_text.parts(part)))
+    return int(residue_text.open_slot(bare) or residue_text.may_have_notice(bare) and any(residue_text.is_notice(p) and not residue_text.mentions(p) for p in residue_text.parts(part)))
 
 
 def host_of(document_id: str | None) -> str:

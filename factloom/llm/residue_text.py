@@ -16,12 +16,15 @@ SLOT = re.compile(
     r"\{\{\s*[\w.]+\s*\}\}|\$\{\s*[\w.]+\s*\}|#\{\s*[\w.]+\s*\}|<%=?\s*[\w. ]+\s*%>|\{%\s*[\w. ]+\s*%\}|<<\s*" + _FIELD + r">>|@@\s*[\w. ]+\s*@@|(?<!\w)__[A-Z][A-Z_. ]*__(?!\w)|(?<![\w%])%[A-Z][A-Z_.]{2,}%(?!\w)"
     r"|<\s*(?:insert|enter|your|add)\b[^<>\n]{0,60}>|\[\s*●\s*\]|\[\[[^\[\]\n]{2,60}\]\]|\[\s*(?:insert|enter|your|add|tbd|tba|tbc|to be)\b[^\[\]\n]{0,60}\]"
     r"|\[(?:date|amount|name|period|auditor|registrar|entity|revenue|company name|company|fiscal year|report title|pat current|year|title|figure|number)\]"
+    r"|\$\$\s*[A-Z][A-Z_.]{2,40}\s*\$\$|\bMERGEFIELD\s+\"?[\w.]+|(?<![\w:]):[a-z][a-z_.]{2,40}:(?![\w:])|&lt;\s*(?-i:[A-Z])" + r"[\w. /-]{1,40}&gt;"
     r"|\bX{2,}\.X+\b|(?<![\w$\\_^}])\{\d{1,2}\}(?!\w)|(?<!\w)_{4,}(?!\w)|\bTB[DC]:",
     re.I,
 )
-_SLOT_SIGN = re.compile(r"[{\[<●]|@@|__|X\.?X|TB[DC]:|%[A-Z]")
+_SLOT_SIGN = re.compile(r"[{\[<●«]|@@|__|X\.?X|TB[DC]:|%[A-Z]|\$\$|MERGEFIELD|(?<![\w:]):[A-Za-z]|&lt;")
+#: A merge field as word processors show it; its marks are also those of a quotation.
+MERGE_FIELD = re.compile(r"«\s*(?:[A-Z]+(?:[_.][A-Z]+)+|[A-Za-z]+(?:_[A-Za-z]+)+|DATE|AMOUNT|NAME|PERIOD|AUDITOR|REGISTRAR|ENTITY|REVENUE|COMPANY|YEAR|TITLE|FIGURE|NUMBER|ADDRESS|CITY|COUNTRY|CURRENCY)\s*»")
 #: What opens and closes a quotation; a slot inside is only mentioned.
-QUOTED = re.compile(r"“[^”\n]{0,80}”|„[^“”\n]{0,80}[“”]|«[^»\n]{0,80}»|\"(?=[\[{<$#%@_])[^\"\n]{1,80}\"|‘[^’\n]{0,80}’|`[^`\n]{0,80}`")
+QUOTED = re.compile(r"“[^”\n]{0,80}”|„[^“”\n]{0,80}[“”]|«[^»\n]{0,80}»|\"(?=[\[{<$#%@_&:])[^\"\n]{1,80}\"|‘[^’\n]{0,80}’|`[^`\n]{0,80}`")
 # Words of notices about scripts; one of either kind in a sentence makes a notice.
 SCRIPT_WORDS = re.compile(r"java\s*script|\bjs\b|\bscript(?:s|ing)?\b|जावास्क्रिप्ट", re.I)
 SCRIPT_STATE = re.compile(
@@ -48,6 +51,17 @@ PSEUDO_LATIN = frozenset(
     "adipi aliqua amot animus consectum culpa dolor donec elitor exerce fugat incida integra ipsum laboris lorem magnat mauris nostrum nulla nunca pariat porta"
     " quisque sedum sit tellux tempora ullam velum venia vitae".split()
 )
+# Words of the usual filler texts that are no words of the corpus' languages.
+FILLER_WORDS = frozenset(
+    "accumsan adipiscing aenean aliquam aliquet aliquip anim arcu auctor augue bibendum blandit cillum commodo condimentum congue consectetuer consequat convallis cras cubilia cupidatat curabitur curae cursus dapibus deserunt diam dictum dictumst dignissim dolore"
+    " dui duis efficitur egestas eget eiusmod eleifend elementum enim erat eros esse euismod excepteur exercitation facilisi facilisis faucibus felis fermentum feugiat finibus fringilla fugiat gravida habitant habitasse hac hendrerit iaculis imperdiet incididunt integer"
+    " interdum irure justo labore lacinia lacus laoreet lectus leo libero ligula lobortis luctus maecenas magna malesuada mattis maximus metus minim molestie mollis mollit morbi nam nec neque netus nibh nisi nisl nostrud occaecat officia orci ornare pariatur pellentesque"
+    " pharetra phasellus placerat platea posuere potenti praesent pretium primis proident proin pulvinar purus quam quis reprehenderit rhoncus risus rutrum sagittis sapien scelerisque semper senectus sodales sollicitudin suscipit suspendisse tellus tempor tincidunt tortor"
+    " tristique turpis ultrices ultricies urna varius vehicula venenatis veniam vestibulum viverra vivamus viverra volutpat voluptate vulputate porttitor".split()
+)
+# Small words of the corpus' languages that Latin does not have.
+SMALL_WORDS = frozenset("the of and to for is was were with by from on that this are be has have not our der die das und von mit für den dem ist wird auf im le la les des du dans pour sur par est une un el los las y del para con una por que se su".split())
+_LATIN_FORM = re.compile(r"(?:um|us|is|it|et|ur|am|em|im|ae|nt|que|or|at|ad|ut|ac|ec|ex|eu|sed|non|ante|in|vel|id|ed|os|i|o)$")
 # Page furniture.
 FURNITURE = re.compile(
     r"^\s*(?:skip to content|home\s*>.*|back to contents|corporate overview\b.*|page \d+ of \d+|management discussion|notes to the statements.*|©.*|[\W\d_]*|.{1,80}\| annual report .*|figure \d+:.*|[^.!?]{1,80} — (?:(?:[qh]\d )?fy\d\d(?:\d\d-\d\d)?|20\d\d)|share this page|print this page|\d+(?:\.\d+)*\s*)$",
@@ -67,16 +81,22 @@ def clean(text: str) -> str:
 
 def open_slot(text: str) -> bool:
     """Whether a slot stands where a value belongs; a quoted slot, a formula and a stored record are none."""
-    if not (_SLOT_SIGN.search(text) and SLOT.search(text)):
+    if not (_SLOT_SIGN.search(text) and (SLOT.search(text) or MERGE_FIELD.search(text))):
         return False
-    bare = QUOTED.sub(" ", text)
-    bare = re.sub(r"\$[^$\n]{1,200}\$", " ", bare) if "\\" in bare else bare
-    return SLOT.search(bare) is not None
+    bare = QUOTED.sub(lambda m: m[0] if MERGE_FIELD.fullmatch(m[0]) else " ", text)
+    bare = re.sub(r"(?<!\$)\$(?!\$)[^$\n]{1,200}\$", " ", bare) if "\\" in bare else bare
+    return SLOT.search(bare) is not None or MERGE_FIELD.search(bare) is not None
 
 
 def pseudo_latin(segment: str) -> bool:
+    """Filler by its words, or by words of Latin form of which some are common in filler and none is a small word of the corpus' languages."""
     words = re.findall(r"[^\W\d_]+", segment.lower())
-    return len(words) >= 3 and sum(w in PSEUDO_LATIN for w in words) >= 0.6 * len(words)
+    if len(words) < 3:
+        return False
+    if sum(w in PSEUDO_LATIN for w in words) >= 0.6 * len(words):
+        return True
+    known = sum(w in PSEUDO_LATIN or w in FILLER_WORDS for w in words)
+    return known >= 2 and not SMALL_WORDS.intersection(words) and sum(w in PSEUDO_LATIN or w in FILLER_WORDS or _LATIN_FORM.search(w) is not None for w in words) >= 0.7 * len(words)
 
 
 def is_notice(segment: str) -> bool:
@@ -88,11 +108,18 @@ def is_notice(segment: str) -> bool:
     return bool(STATUS.search(segment) or pseudo_latin(segment) or REPEATED.match(segment))
 
 
-# Words by which a sentence speaks about such texts instead of being one.
+# Words by which a sentence speaks about such texts instead of being one, ...
 MENTION = re.compile(
-    r"\b(?:style guide|symbol|portal of|portal nur|the (?:committee|audit|review|survey|contract|note)|audit of|training covered|analysts|annexure|schedule \d|counts as|accessibility|fell by|answered \d|explains|explained|explica|erwähnt|mentionne|menciona|per cent of visits|sample used|vehicles|minutes counts|migration)\b|bedeutet|signifie|उल्लेख|बताता",
+    r"\b(?:style guide|counts as|minutes counts|training covered|fell by|answered \d|explains|explained|explica|erwähnt|mentionne|menciona|per cent of visits|sample used)\b|bedeutet|signifie|उल्लेख|बताता",
     re.I,
 )
+# ... and words that do so only where the sentence reports or quotes.
+_TOPIC = re.compile(r"\b(?:symbol|portal of|portal nur|the (?:committee|audit|review|survey|contract|note)|audit of|analysts|annexure|schedule \d|accessibility|vehicles|migration)\b", re.I)
+_REPORTS = re.compile(r"\b(?:found|finds|noted?|notes|says|said|shows?|showed|shown|marks?|marked|covers?|covered|records?|recorded|reports?|reported|states?|stated|counts?|counted|fell|rose|halved|dropped|lists?|listed|reviewed|tested|withdrawn|delayed|removed|replaced|restated|lowered|mentions?|refers?|nur)\b|[“„«‘\"]", re.I)
+
+
+def mentions(segment: str) -> bool:
+    return MENTION.search(segment) is not None or _TOPIC.search(segment) is not None and _REPORTS.search(segment) is not None
 
 
 def parts(text: str) -> list[str]:
@@ -122,7 +149,7 @@ def may_have_notice(text: str) -> bool:
     if any(x in low for x in NOTICE_PHRASES) or "script" in low or "जावास्क्रिप्ट" in low or _JS_WORD.search(low) or _MAY_BE_STATUS.search(low):
         return True
     words = re.findall(r"\w+", low)
-    return len(PSEUDO_LATIN.intersection(words)) >= 2 or "xxx" in low or _CROSSES.search(low) is not None or _repeats(words)
+    return sum(w in PSEUDO_LATIN or w in FILLER_WORDS for w in words) >= 2 or "xxx" in low or _CROSSES.search(low) is not None or _repeats(words)
 
 
 _CROSSES = re.compile(r"(?:\bx+\W+){4}")
@@ -133,10 +160,10 @@ _JS_WORD = re.compile(r"\bjs\b|java\s+script")
 _LITERAL = re.compile(r"([\\.^$|()\[\]{}*+?])")
 _SLOT_CUE = (
     r"\{\{[^{}]*\}\}|[$#]\{[^{}]*\}|<%|\{%|<<|@@|__|%[A-Z][A-Z_.]{2,}%|(?i:<[\s\pZ]*(?:insert|enter|your|add)|\[[\s\pZ]*(?:●|insert|enter|your|add|tbd|tba|tbc|to be)"
-    r"|\[(?:date|amount|name|period|auditor|registrar|entity|revenue|company|fiscal year|report title|pat current|year|title|figure|number)|XX\.X|\{\p{Nd}{1,2}\}|TB[DC]:)|\[\["
+    r"|\[(?:date|amount|name|period|auditor|registrar|entity|revenue|company|fiscal year|report title|pat current|year|title|figure|number)|XX\.X|\{\p{Nd}{1,2}\}|TB[DC]:|MERGEFIELD|(?:^|[^\w:]):[a-z][a-z_.]{2,40}:)|\[\[|\$\$|&lt;|«[\s\pZ]*[A-Za-z_.]+[\s\pZ]*»"
 )
 _TEXT_CUE = "(?i)" + "|".join([*(_LITERAL.sub(r"\\\1", x) for x in NOTICE_PHRASES), "script", "जावास्क्रिप्ट", r"\bjs\b", r"java[\s\pZ]+script", "xxx", r"(?:\bx+[^0-9a-z_]+){4}", _MAY_BE_STATUS_TEXT.replace(r"\u2028\u2029", r"\x{2028}\x{2029}").replace(r"\s", r"[\s\pZ]").replace(r"[^\w[\s\pZ]]", r"[^\w\s\pZ]")])
-_LATIN_CUE = r"(?i)\b(?:" + "|".join(sorted(PSEUDO_LATIN)) + r")\b"
+_LATIN_CUE = r"(?i)\b(?:" + "|".join(sorted(PSEUDO_LATIN | FILLER_WORDS)) + r")\b"
 _INVISIBLE_CUE = r"[\x{ad}\x{200b}-\x{200f}\x{2060}\x{feff}]|<\|endoftext\|>"
 
 
@@ -161,7 +188,7 @@ def is_residue(text: str | None) -> bool:
     if not may_have_notice(clean(text)):
         return False
     held = parts(text)
-    notices = [is_notice(p) and not MENTION.search(p) for p in held]
+    notices = [is_notice(p) and not mentions(p) for p in held]
     if not any(notices):
         return False
     bad = good = 0

@@ -16,6 +16,25 @@ CONTENT = [
     "Der Bericht erwähnt, dass die Meldung „Seite nicht gefunden“ im Portal nur 9% der Aufrufe betraf.", "<b>X Limited</b> &amp; its units: plant downtime of GBP 9Mrd.", "The audit of drafts found lorem ipsum in 3 of 9 decks; all were withdrawn in FY24.",
 ]
 
+GENERAL = [
+    "The service is temporarily unavailable during a data migration.", "Access denied. The contract portal is closed.", "Vestibulum ante ipsum primis in faucibus orci luctus et ultrices posuere cubilia curae. Curabitur blandit tempus porttitor.",
+    "Total income: $$COMPANY_NAME$$ in FY24.", "Milk procured: MERGEFIELD company_name", "Prepared for :fiscal_year: by the office.", "Dear shareholders of &lt;Report Title&gt;,", "Hedge ineffectiveness: «FISCAL_YEAR»", "Prepared for «ENTITY» by us",
+]
+GENERAL_CONTENT = [
+    "Without scripts the portal of X still shows the tables, the accessibility audit found.", "The committee noted that “temporarily unavailable” was shown after the migration.", "The audit found access denied to 5 analysts.", "Le rapport parle de «EBITDA» et de «marge brute».",
+    "At 10:30: the board met; see note: growth: flat.", "Costs of $5 and $$6 rose. Profit &lt; loss, A &gt; B.", "Credit audit unit benefit, premium surplus status, net asset.", "Le libero et le semper sont des produits de la filiale, tempus et lectus aussi pour les clients.",
+]
+
+
+@pytest.mark.parametrize("text", GENERAL)
+def test_general_residue(text):
+    assert rt.is_residue(text) and rt.cues(pa.array([text])).all()
+
+
+@pytest.mark.parametrize("text", GENERAL_CONTENT)
+def test_general_content(text):
+    assert not rt.is_residue(text)
+
 
 @pytest.mark.parametrize("text", CASES)
 def test_residue(text):
