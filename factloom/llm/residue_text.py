@@ -1,201 +1,88 @@
-"""Signs of template residue, filler, error pages and script notices in the parts of a text."""
+"""Weak signs of residue, for the labels that the classifier is trained on, and the structural check of open slots."""
 
 from __future__ import annotations
 
 import re
-from itertools import islice
-from operator import eq
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-
-# What stands for a value in a template that was not filled in.
-_FIELD = r"[A-Za-z][\w. /-]{0,40}"
+# Notations of a slot in a template, by the marks that open and close it.
+_NAME = r"[A-Za-z][\w. /-]{0,40}"
+# Names of fields that stand in a slot without any further mark.
+_FIELDS = "date|amount|name|period|auditor|registrar|entity|revenue|company|company name|fiscal year|report title|pat current|year|title|figure|number|address|city|country|currency"
+_MERGED = r"«\s*(?:(?-i:[A-Z]+(?:[_.][A-Z]+)+)|[A-Za-z]+(?:_[A-Za-z]+)+|(?-i:" + _FIELDS.upper() + r"))\s*»"
 SLOT = re.compile(
-    r"\{\{\s*[\w.]+\s*\}\}|\$\{\s*[\w.]+\s*\}|#\{\s*[\w.]+\s*\}|<%=?\s*[\w. ]+\s*%>|\{%\s*[\w. ]+\s*%\}|<<\s*" + _FIELD + r">>|@@\s*[\w. ]+\s*@@|(?<!\w)__[A-Z][A-Z_. ]*__(?!\w)|(?<![\w%])%[A-Z][A-Z_.]{2,}%(?!\w)"
-    r"|<\s*(?:insert|enter|your|add)\b[^<>\n]{0,60}>|\[\s*●\s*\]|\[\[[^\[\]\n]{2,60}\]\]|\[\s*(?:insert|enter|your|add|tbd|tba|tbc|to be)\b[^\[\]\n]{0,60}\]"
-    r"|\[(?:date|amount|name|period|auditor|registrar|entity|revenue|company name|company|fiscal year|report title|pat current|year|title|figure|number)\]"
-    r"|\$\$\s*[A-Z][A-Z_.]{2,40}\s*\$\$|\bMERGEFIELD\s+\"?[\w.]+|(?<![\w:]):[a-z][a-z_.]{2,40}:(?![\w:])|&lt;\s*(?-i:[A-Z])" + r"[\w. /-]{1,40}&gt;"
-    r"|\bX{2,}\.X+\b|(?<![\w$\\_^}])\{\d{1,2}\}(?!\w)|(?<!\w)_{4,}(?!\w)|\bTB[DC]:",
+    r"\{\{\s*[\w.]+\s*\}\}|[$#]\{\s*[\w.]+\s*\}|<%=?\s*[\w. ]+\s*%>|\{%\s*[\w. ]+\s*%\}|<<\s*" + _NAME + r">>|@@\s*[\w. ]+\s*@@|\$\$\s*[A-Z][A-Z_.]{2,40}\s*\$\$|(?<!\w)__[A-Z][A-Z_. ]*__(?!\w)|(?<![\w%])%[A-Z][A-Z_.]{2,}%(?!\w)"
+    r"|(?<![\w:]):[a-z][a-z_.]{2,40}:(?![\w:])|&lt;\s*(?-i:[A-Z])[\w. /-]{1,40}&gt;|\[\[[^\[\]\n]{2,60}\]\]|\[\s*●\s*\]|(?<![\w$\\_^}])\{\d{1,2}\}(?!\w)|\bX{2,}\.X+\b|(?<!\w)_{4,}(?!\w)|\bMERGEFIELD\s+\"?[\w.]+"
+    r"|[<\[]\s*(?:insert|enter|your|add|to be|tb[dac])\b[^<>\[\]\n]{0,60}[>\]]|\[(?:" + _FIELDS + r")\]|\bTB[DC]:"
+    r"|" + _MERGED,
     re.I,
 )
-_SLOT_SIGN = re.compile(r"[{\[<●«]|@@|__|X\.?X|TB[DC]:|%[A-Z]|\$\$|MERGEFIELD|(?<![\w:]):[A-Za-z]|&lt;")
 #: A merge field as word processors show it; its marks are also those of a quotation.
-MERGE_FIELD = re.compile(r"«\s*(?:[A-Z]+(?:[_.][A-Z]+)+|[A-Za-z]+(?:_[A-Za-z]+)+|DATE|AMOUNT|NAME|PERIOD|AUDITOR|REGISTRAR|ENTITY|REVENUE|COMPANY|YEAR|TITLE|FIGURE|NUMBER|ADDRESS|CITY|COUNTRY|CURRENCY)\s*»")
+MERGE_FIELD = re.compile(_MERGED)
 #: What opens and closes a quotation; a slot inside is only mentioned.
 QUOTED = re.compile(r"“[^”\n]{0,80}”|„[^“”\n]{0,80}[“”]|«[^»\n]{0,80}»|\"(?=[\[{<$#%@_&:])[^\"\n]{1,80}\"|‘[^’\n]{0,80}’|`[^`\n]{0,80}`")
-# Words of notices about scripts; one of either kind in a sentence makes a notice.
-SCRIPT_WORDS = re.compile(r"java\s*script|\bjs\b|\bscript(?:s|ing)?\b|जावास्क्रिप्ट", re.I)
-SCRIPT_STATE = re.compile(
-    r"\b(?:enable|activated?|turn(?:ed)?|switched|requires?|needs?|allow|disabled|blocked|without|must|have to|stays? off|aktivieren|benötigt|deaktiviert|ohne|activer|nécessite|désactivé|sans|activ[ea]|desactivad[oa]s?|necesita|requiere|sin)\b|does not support|doesn't support|सक्षम|चालू|बंद|आवश्यक|के बिना",
-    re.I,
-)
-# Phrases of script notices, of error and refusal pages, and of filler, in the languages of the corpus, in lower case.
-NOTICE_PHRASES = (
-    "scripts are blocked", "turn them on and reload", "checking your browser", "enable cookies", "<noscript", "</noscript",
-    "http status", "page has moved", "page not found", "page introuvable", "no longer exists", "could not be located", "could not be found", "can't find what", "cannot find the page",
-    "seite nicht gefunden", "nicht mehr verfügbar", "página no encontrada", "no se encontró", "no se ha encontrado", "ya no está disponible", "n'existe plus", "n'est plus disponible", "acceso denegado", "accès refusé", "zugriff verweigert",
-    "access denied", "access is denied", "do not have permission", "don't have permission", "not authorised", "not authorized", "blocked by the", "unable to connect", "connection refused", "connection reset", "timed out", "failed to load", "could not be loaded",
-    "something went wrong", "try again later", "oops", "too many requests", "slow down", "session has expired", "log in again", "sign in again", "planned maintenance", "down for maintenance", "temporarily unavailable", "service unavailable",
-    "internal server error", "erreur interne", "interner serverfehler", "error interno", "bad gateway", "gateway time", "traceback (most recent", "keyerror", "exception:", "java.lang.", "edge proxy", "upstream ", "reset by peer", "core dumped", "stack trace", "segmentation fault",
-    "पृष्ठ नहीं मिला", "अनुमति नहीं", "पहुँच अस्वीकृत", "त्रुटि", "quelque chose s'est mal", "une erreur est survenue", "ein fehler ist aufgetreten", "se ha producido un error",
-    "lorem ipsum", "dolor sit amet", "consectetur", "dummy text", "placeholder", "sample text", "filler text", "blindtext", "texte provisoire", "texte de remplissage", "texte factice", "faux texte", "faux-texte", "texto de relleno", "texto de prueba", "platzhalter", "नमूना पाठ",
-    "copy goes here", "text goes here", "will come here", "comes here", "type something", "your headline", "your text here", "your title here", "your subtitle", "tap here", "tap to add", "click to add", "click to edit", "click here to", "add a short", "add a title", "add a caption", "add your",
-    "replace this", "text here", "chart here", "outline level", "edit the outline", "layout purposes", "final wording to follow", "blah blah", "asdf", "qwerty", "the quick brown fox", "click icon",
-)
-STATUS = re.compile(r"\berror(?: code)?:?\s*\d{3}\b|^\W*[45]\d\d\W*$|\b[45]\d\d (?:not found|forbidden|gone|unauthorized)|\brequest [0-9a-f]{6,} was|^reference [0-9a-f]{6,}\W*$|^\s*file \"[^\"]+\", line|^\s*\w*(?:error|exception):|^\s*at [\w.$]+\([\w.]+:?\d*\)|\bforbidden\W*$", re.I)
-REPEATED = re.compile(r"^\W*(\w+)(?:\W+\1){3,}\W*$|^\W*(?:x+\W+){4,}x*\W*$|^\W*(\w{2,12}\W+\w{2,12})(?:\W+\2){3,}\W*$", re.I)
-# Words of the pseudo-Latin filler, beside the well-known beginning.
-PSEUDO_LATIN = frozenset(
-    "adipi aliqua amot animus consectum culpa dolor donec elitor exerce fugat incida integra ipsum laboris lorem magnat mauris nostrum nulla nunca pariat porta"
-    " quisque sedum sit tellux tempora ullam velum venia vitae".split()
-)
-# Words of the usual filler texts that are no words of the corpus' languages.
-FILLER_WORDS = frozenset(
-    "accumsan adipiscing aenean aliquam aliquet aliquip anim arcu auctor augue bibendum blandit cillum commodo condimentum congue consectetuer consequat convallis cras cubilia cupidatat curabitur curae cursus dapibus deserunt diam dictum dictumst dignissim dolore"
-    " dui duis efficitur egestas eget eiusmod eleifend elementum enim erat eros esse euismod excepteur exercitation facilisi facilisis faucibus felis fermentum feugiat finibus fringilla fugiat gravida habitant habitasse hac hendrerit iaculis imperdiet incididunt integer"
-    " interdum irure justo labore lacinia lacus laoreet lectus leo libero ligula lobortis luctus maecenas magna malesuada mattis maximus metus minim molestie mollis mollit morbi nam nec neque netus nibh nisi nisl nostrud occaecat officia orci ornare pariatur pellentesque"
-    " pharetra phasellus placerat platea posuere potenti praesent pretium primis proident proin pulvinar purus quam quis reprehenderit rhoncus risus rutrum sagittis sapien scelerisque semper senectus sodales sollicitudin suscipit suspendisse tellus tempor tincidunt tortor"
-    " tristique turpis ultrices ultricies urna varius vehicula venenatis veniam vestibulum viverra vivamus viverra volutpat voluptate vulputate porttitor".split()
-)
-# Small words of the corpus' languages that Latin does not have.
-SMALL_WORDS = frozenset("the of and to for is was were with by from on that this are be has have not our der die das und von mit für den dem ist wird auf im le la les des du dans pour sur par est une un el los las y del para con una por que se su".split())
-_LATIN_FORM = re.compile(r"(?:um|us|is|it|et|ur|am|em|im|ae|nt|que|or|at|ad|ut|ac|ec|ex|eu|sed|non|ante|in|vel|id|ed|os|i|o)$")
-# Page furniture.
-FURNITURE = re.compile(
-    r"^\s*(?:skip to content|home\s*>.*|back to contents|corporate overview\b.*|page \d+ of \d+|management discussion|notes to the statements.*|©.*|[\W\d_]*|.{1,80}\| annual report .*|figure \d+:.*|[^.!?]{1,80} — (?:(?:[qh]\d )?fy\d\d(?:\d\d-\d\d)?|20\d\d)|share this page|print this page|\d+(?:\.\d+)*\s*)$",
-    re.I,
-)
-_TITLE = re.compile(r"^(?:#+\s*|\d+(?:\.\d+)*\s+|chapter \d+:)\s*\S", re.I)
-_SPLIT = re.compile(r"[\r\n  \x0b\x0c]+|(?<=[.!?।…])\s+")
 _INVISIBLE = re.compile(r"[­​-‏⁠﻿]|<\|endoftext\|>")
-_GLUED = re.compile(r"skip to content|back to contents|home > filings > results|corporate overview\s+statutory reports\s+financial statements|page \d+ of \d+|management discussion|©[^.\n]{2,60}?(?:\b(?:limited|group|corporation|authority|estimates)\b|(?:republic|statistics) of \w+)", re.I)
-#: Share of residue among the letters that are no furniture from which a text is residue.
-SHARE = 0.25
+
+# Response statuses as such pages write them.
+STATUS = re.compile(r"\b(?:http )?(?:error|status)(?: code)?:?\s*[45]\d\d\b|^\W*[45]\d\d\W*$|\b[45]\d\d (?:not found|forbidden|gone|unauthorized|bad gateway|service unavailable)\b|\btraceback \(most recent|\b[\w.]+exception:", re.I)
+# Common phrases of script notices, of error and refusal pages and of filler, in lower case.
+PHRASES = (
+    "enable javascript", "requires javascript", "javascript is disabled", "javascript aktivieren", "benötigt javascript", "activer javascript", "activez javascript", "activar javascript", "habilite javascript", "जावास्क्रिप्ट", "enable cookies", "<noscript",
+    "page not found", "seite nicht gefunden", "page introuvable", "página no encontrada", "पृष्ठ नहीं मिला", "no longer exists", "access denied", "zugriff verweigert", "accès refusé", "acceso denegado", "अनुमति नहीं", "do not have permission",
+    "internal server error", "service unavailable", "temporarily unavailable", "bad gateway", "too many requests", "something went wrong", "try again later", "session has expired", "timed out", "planned maintenance",
+    "lorem ipsum", "dolor sit amet", "dummy text", "sample text", "placeholder", "filler text", "blindtext", "platzhalter", "faux texte", "texte de remplissage", "texto de relleno", "texto de prueba", "नमूना पाठ", "your text here", "your headline", "click to add", "text goes here", "copy goes here", "replace this", "add a short",
+)
+_PARTS = re.compile(r"[\r\n  \x0b\x0c]+|(?<=[.!?।…])\s+")
+#: Share of a part's characters that a phrase has at least, or the part only mentions it.
+COVERED = 0.25
+#: Share of the characters of whole sentences from which weakly signed parts make a text residue for the training.
+SHARE = 0.4
+#: Share of repeated words from which a text is filler for the training.
+REPEATED = 0.6
 
 
 def clean(text: str) -> str:
+    """Without characters that do not show."""
     return _INVISIBLE.sub("", text)
 
 
+_SLOT_SIGN = re.compile(r"[{\[«@<●]|__|\$\$|&lt;|%[A-Z]|XX|:[a-zA-Z]|mergefield|tb[dac]:", re.I)
+
+
 def open_slot(text: str) -> bool:
     """Whether a slot stands where a value belongs; a quoted slot, a formula and a stored record are none."""
-    if not (_SLOT_SIGN.search(text) and (SLOT.search(text) or MERGE_FIELD.search(text))):
+    if not (_SLOT_SIGN.search(text) and SLOT.search(text)):
         return False
     bare = QUOTED.sub(lambda m: m[0] if MERGE_FIELD.fullmatch(m[0]) else " ", text)
     bare = re.sub(r"(?<!\$)\$(?!\$)[^$\n]{1,200}\$", " ", bare) if "\\" in bare else bare
-    return SLOT.search(bare) is not None or MERGE_FIELD.search(bare) is not None
-
-
-def pseudo_latin(segment: str) -> bool:
-    """Filler by its words, or by words of Latin form of which some are common in filler and none is a small word of the corpus' languages."""
-    words = re.findall(r"[^\W\d_]+", segment.lower())
-    if len(words) < 3:
-        return False
-    if sum(w in PSEUDO_LATIN for w in words) >= 0.6 * len(words):
-        return True
-    known = sum(w in PSEUDO_LATIN or w in FILLER_WORDS for w in words)
-    return known >= 2 and not SMALL_WORDS.intersection(words) and sum(w in PSEUDO_LATIN or w in FILLER_WORDS or _LATIN_FORM.search(w) is not None for w in words) >= 0.7 * len(words)
+    return SLOT.search(bare) is not None
 
 
-def is_notice(segment: str) -> bool:
-    low = segment.lower()
-    if any(x in low for x in NOTICE_PHRASES):
-        return True
-    if SCRIPT_WORDS.search(segment) and SCRIPT_STATE.search(segment):
-        return True
-    return bool(STATUS.search(segment) or pseudo_latin(segment) or REPEATED.match(segment))
-
-
-# Words by which a sentence speaks about such texts instead of being one, ...
-MENTION = re.compile(
-    r"\b(?:style guide|counts as|minutes counts|training covered|fell by|answered \d|explains|explained|explica|erwähnt|mentionne|menciona|per cent of visits|sample used)\b|bedeutet|signifie|उल्लेख|बताता",
-    re.I,
-)
-# ... and words that do so only where the sentence reports or quotes.
-_TOPIC = re.compile(r"\b(?:symbol|portal of|portal nur|the (?:committee|audit|review|survey|contract|note)|audit of|analysts|annexure|schedule \d|accessibility|vehicles|migration)\b", re.I)
-_REPORTS = re.compile(r"\b(?:found|finds|noted?|notes|says|said|shows?|showed|shown|marks?|marked|covers?|covered|records?|recorded|reports?|reported|states?|stated|counts?|counted|fell|rose|halved|dropped|lists?|listed|reviewed|tested|withdrawn|delayed|removed|replaced|restated|lowered|mentions?|refers?|nur)\b|[“„«‘\"]", re.I)
-
+def weak_slot(part: str) -> int:
+    return int(open_slot(clean(part)))
 
-def mentions(segment: str) -> bool:
-    return MENTION.search(segment) is not None or _TOPIC.search(segment) is not None and _REPORTS.search(segment) is not None
 
+_MAY_BE_STATUS = re.compile(r"(?:error|status|code)[: ]{1,2}[45]\d|[45]\d\d (?:[nfgubs])|^[^\w\n]*[45]\d\d[^\w\n]*$|traceback|exception:", re.M)
 
-def parts(text: str) -> list[str]:
-    """Lines and sentences, with furniture that was run together with them cut off."""
-    out = []
-    for s in _SPLIT.split(clean(text)):
-        out.extend(p for p in _GLUED.sub("\n", s).split("\n") if p.strip())
-    return out
 
-
-# A part that is a bare status ends with its number, before a line break, the end of a sentence or furniture that was cut off.
-_BARE_STATUS = r"\b[45]\d\d\b(?:[^\w\r\n]*(?:$|[\r\n\u2028\u2029\x0b\x0c])|[^\w\s]*[.!?।…]\W*\s|\W*(?:skip|back|home|corporate|page|management|©))"
-_MAY_BE_STATUS_TEXT = r"error|exception|forbidden|request [0-9a-f]{6}|reference [0-9a-f]{6}|file \"|\bat [\w.$]+\(|not found|unauthorized|\bgone\b|" + _BARE_STATUS
-_MAY_BE_STATUS = re.compile(_MAY_BE_STATUS_TEXT)
-
-
-def _repeats(words: list[str]) -> bool:
-    """Whether a word comes three times running, or two words twice."""
-    if not any(map(eq, words, islice(words, 2, None))):
-        return False
-    return any(a == b == c for a, b, c in zip(words, words[1:], words[2:], strict=False)) or any(a == c and b == d for a, b, c, d in zip(words, words[1:], words[2:], words[3:], strict=False))
-
-
-def may_have_notice(text: str) -> bool:
-    """Whether any part could be a notice: false spares a text the look at its parts, and is never false for one that has a notice."""
+def weak_notice(text: str, repeated: float = 0.0) -> int:
+    """1: a text mostly of a response status, of common phrases of such pages or of words that repeat the one or two before them (``repeated`` is their
+    share); 0: none of them, or beside other sentences."""
+    if repeated >= REPEATED:
+        return 1
     low = text.lower()
-    if any(x in low for x in NOTICE_PHRASES) or "script" in low or "जावास्क्रिप्ट" in low or _JS_WORD.search(low) or _MAY_BE_STATUS.search(low):
-        return True
-    words = re.findall(r"\w+", low)
-    return sum(w in PSEUDO_LATIN or w in FILLER_WORDS for w in words) >= 2 or "xxx" in low or _CROSSES.search(low) is not None or _repeats(words)
-
-
-_CROSSES = re.compile(r"(?:\bx+\W+){4}")
-
-
-_JS_WORD = re.compile(r"\bjs\b|java\s+script")
-# The cues of slots and notices for a look at a whole array at once (RE2 has no look-around: each is as wide as or wider than the exact sign).
-_LITERAL = re.compile(r"([\\.^$|()\[\]{}*+?])")
-_SLOT_CUE = (
-    r"\{\{[^{}]*\}\}|[$#]\{[^{}]*\}|<%|\{%|<<|@@|__|%[A-Z][A-Z_.]{2,}%|(?i:<[\s\pZ]*(?:insert|enter|your|add)|\[[\s\pZ]*(?:●|insert|enter|your|add|tbd|tba|tbc|to be)"
-    r"|\[(?:date|amount|name|period|auditor|registrar|entity|revenue|company|fiscal year|report title|pat current|year|title|figure|number)|XX\.X|\{\p{Nd}{1,2}\}|TB[DC]:|MERGEFIELD|(?:^|[^\w:]):[a-z][a-z_.]{2,40}:)|\[\[|\$\$|&lt;|«[\s\pZ]*[A-Za-z_.]+[\s\pZ]*»"
-)
-_TEXT_CUE = "(?i)" + "|".join([*(_LITERAL.sub(r"\\\1", x) for x in NOTICE_PHRASES), "script", "जावास्क्रिप्ट", r"\bjs\b", r"java[\s\pZ]+script", "xxx", r"(?:\bx+[^0-9a-z_]+){4}", _MAY_BE_STATUS_TEXT.replace(r"\u2028\u2029", r"\x{2028}\x{2029}").replace(r"\s", r"[\s\pZ]").replace(r"[^\w[\s\pZ]]", r"[^\w\s\pZ]")])
-_LATIN_CUE = r"(?i)\b(?:" + "|".join(sorted(PSEUDO_LATIN | FILLER_WORDS)) + r")\b"
-_INVISIBLE_CUE = r"[\x{ad}\x{200b}-\x{200f}\x{2060}\x{feff}]|<\|endoftext\|>"
-
-
-def cues(texts: pa.Array) -> np.ndarray:
-    """Which texts need the exact check: false only where :func:`is_residue` is false. Invisible characters may hide a cue and count as one."""
-    out = np.zeros(len(texts), bool)
-    for cue in (_SLOT_CUE, _TEXT_CUE, _LATIN_CUE, _INVISIBLE_CUE):
-        out |= pc.fill_null(pc.match_substring_regex(texts, cue), False).to_numpy(zero_copy_only=False)
-    for i in np.flatnonzero(~out).tolist():
-        text = texts[i].as_py()
-        out[i] = text is not None and _repeats(re.findall(r"\w+", text.lower()))
-    return out
-
-
-
-def is_residue(text: str | None) -> bool:
-    """Exact check of one text: an open slot anywhere, or residue as the content apart from furniture."""
-    if text is None or not text.strip():
-        return False
-    if open_slot(clean(text)):
-        return True
-    if not may_have_notice(clean(text)):
-        return False
-    held = parts(text)
-    notices = [is_notice(p) and not mentions(p) for p in held]
-    if not any(notices):
-        return False
-    bad = good = 0
-    for p, notice in zip(held, notices, strict=True):
-        n = sum(c.isalpha() for c in p)
-        if notice:
-            bad += max(n, 1)
-        elif not FURNITURE.match(p) and not _TITLE.match(p):
-            good += n
-    return bad >= SHARE * (bad + good)
+    spaced = " ".join(low.split())
+    if not (any(p in spaced for p in PHRASES) or _MAY_BE_STATUS.search(low)):
+        return 0
+    signed = other = 0
+    for part in _PARTS.split(clean(text)):
+        n = len(part)
+        bare = QUOTED.sub(" ", part)
+        small = " ".join(bare.lower().split())
+        sentence = part.rstrip()[-1:] in ".!?।…" and part.strip() != ""  # titles and page furniture are none
+        if STATUS.search(bare) or max((len(p) for p in PHRASES if p in small), default=0) >= COVERED * max(n, 1):
+            signed += max(n, 1)
+        elif small.startswith(PHRASES) and not other:
+            return 1  # the content begins with it
+        elif sentence:
+            other += n
+    return int(signed > 0 and signed >= SHARE * (signed + other))
