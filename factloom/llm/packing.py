@@ -21,8 +21,6 @@ from factloom.llm.tokens import TOKENIZERS, token_counts
 from factloom.session import materialize
 
 CAPACITY = 2048
-#: Patterns of three different lengths are enumerated at every so many tokens of the middle length above this capacity.
-FULL_ENUMERATION = 256
 #: Rows per bucket in which ranks are counted.
 RANK_BUCKET = 50_000
 
@@ -39,16 +37,15 @@ def enumerate_patterns(counts: np.ndarray) -> np.ndarray:
     pairs = have[(have * 2 <= capacity)]
     pairs = pairs[there[capacity - pairs]]
     out.append(np.stack([capacity - pairs, pairs, np.zeros_like(pairs)], 1))
-    step = max(1, capacity // FULL_ENUMERATION)
     for a in have[have * 3 >= capacity]:
-        b = have[(have <= a) & (have >= (capacity - a + 1) // 2) & (have < capacity - a) & (((have + a) % step == 0) | (counts[have] == counts[have].max()))]
+        b = have[np.searchsorted(have, (capacity - a + 1) // 2) : np.searchsorted(have, min(a, capacity - a - 1), "right")]
         b = b[there[capacity - a - b]]
         if len(b):
             out.append(np.stack([np.full_like(b, a), b, capacity - a - b], 1))
     return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
 
 
-def fit_repeats(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300) -> np.ndarray:
+def fit_repeats(patterns: np.ndarray, counts: np.ndarray, rounds: int = 30) -> np.ndarray:
     """Repeat counts x >= 0 that minimise |A x - counts|, by accelerated projected gradient; A counts lengths in patterns."""
     if not len(patterns):
         return np.zeros(0)

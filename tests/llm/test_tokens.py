@@ -32,13 +32,18 @@ def test_store_of_words_may_start_anew(monkeypatch):
 
 
 def _check(plan, counts):
+    """Every item once, no two in one place, no container too full; the share of the containers that is filled."""
     capacity = len(counts) - 1
-    use, seen = np.zeros(plan["containers"][0], int), np.zeros(capacity + 1, int)
-    for length, n, first, start in zip(plan["length"], plan["n"], plan["container"], plan["start"], strict=True):
-        assert (use[first : first + n] == start).all() or (use[first : first + n] <= start).all()
-        use[first : first + n] += length
+    held, seen = {}, np.zeros(capacity + 1, int)
+    for length, rank, n, first, start in zip(*(plan[k] for k in ("length", "rank", "n", "container", "start")), strict=True):
+        assert rank == seen[length]  # runs come by length and rank, without gaps
         seen[length] += n
-    assert use.max(initial=0) <= capacity and (seen[1:] == counts[1:]).all() and (use > 0).all()
+        for c in range(first, first + n):
+            held.setdefault(c, []).append((start, start + length))
+    for spans in held.values():
+        spans.sort()
+        assert all(end <= begin for (_, end), (begin, _) in zip(spans, spans[1:], strict=False)) and spans[-1][1] <= capacity
+    assert (seen[1:] == counts[1:]).all() and sorted(held) == list(range(plan["containers"][0]))
     return (counts * np.arange(capacity + 1)).sum() / capacity / max(1, plan["containers"][0])
 
 
