@@ -78,7 +78,7 @@ _LINE_ENDS = np.array([0x0A, 0x0B, 0x0C, 0x0D, 0x2028, 0x2029], np.uint16)
 
 @lru_cache(maxsize=1)
 def _powers() -> tuple[np.ndarray, np.ndarray]:
-    n = 4 * SLICE // 2
+    n = SLICE + 1
     up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up), np.cumprod(down)
@@ -148,7 +148,7 @@ def features(texts: pa.Array) -> Features:
     stop = np.append(at[1:], n)
     used = plain[at] != BLANK
     at, stop = at[used], stop[used]
-    up, down = _powers() if n <= 2 * SLICE else (np.cumprod(np.append(np.uint64(1), np.full(n, _BASE, np.uint64))), np.cumprod(np.append(np.uint64(1), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64))))
+    up, down = _powers() if n <= SLICE else (np.cumprod(np.append(np.uint64(1), np.full(n, _BASE, np.uint64))), np.cumprod(np.append(np.uint64(1), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64))))
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(fold[points] * up[:n], dtype=np.uint64)))
     code = (total[stop] - total[at]) * down[at]
     first = kind[at]
@@ -256,7 +256,7 @@ def fit(codes: np.ndarray, values: np.ndarray, each: np.ndarray, extra: np.ndarr
         size = each[rows]
         take = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(at[rows], size)
         used, local = np.unique(codes[take], return_inverse=True)
-        batches.append((rows, used, local, np.repeat(np.arange(len(rows)), size), values[take]))
+        batches.append((rows, used, local.astype(np.int32), np.repeat(np.arange(len(rows), dtype=np.int32), size), values[take]))
     w, b = np.zeros(1 << BITS), np.zeros(extra.shape[1])
     gw, gb = np.full(1 << BITS, 1e-4), np.full(extra.shape[1], 1e-4)
     for _ in range(EPOCHS):
@@ -295,17 +295,17 @@ def part_scores(model: Linear, f: Features) -> np.ndarray:
 def _matrix(f: Features, of_text: bool, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse features of the texts or parts ``keep`` (ascending): words and pairs of texts, words and shapes of parts."""
     bounds = f.text_bounds if of_text else f.bounds
-    each, damping = np.diff(bounds), _damped(bounds)
+    each, damping = np.diff(bounds), _damped(bounds).astype(np.float32)
     row = np.full(len(each), -1)
     row[keep] = np.arange(len(keep))
-    of = row[np.repeat(np.arange(len(each)), each)]
+    of = row[np.repeat(np.arange(len(each)), each)].astype(np.int32)
     held = of >= 0
     if of_text:
         rows, codes, values = np.tile(of[held], 2), np.concatenate((f.words[held], f.pairs[held])), np.tile(damping[keep][of[held]], 2)
     else:
         marked = row[f.shape_part]
         there = marked >= 0
-        rows, codes, values = np.concatenate((of[held], marked[there])), np.concatenate((f.words[held], f.shapes[there])), np.concatenate((damping[keep][of[held]], np.ones(there.sum())))
+        rows, codes, values = np.concatenate((of[held], marked[there])), np.concatenate((f.words[held], f.shapes[there])), np.concatenate((damping[keep][of[held]], np.ones(there.sum(), np.float32)))
     order = np.argsort(rows, kind="stable")
     return codes[order], values[order], np.bincount(rows, minlength=len(keep))
 
