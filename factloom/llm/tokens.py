@@ -6,6 +6,9 @@ space). Each word that the partition has not met goes, as rows of (word, positio
 that joins neighbouring tokens with the merge table and contracts each word's minimum-rank pair from the leftmost
 occurrence on, until no pair of the word merges; an ordered aggregation gives the word's ids. Texts are then
 put together from the ids of their words by offsets.
+
+Long words cost no more a byte than short ones: a word is cut where two bytes meet that no token of the vocabulary has side by side, since no merge can reach
+across; what is still long contracts all pairs at once that have the least rank as far as a token can reach.
 """
 
 from __future__ import annotations
@@ -56,6 +59,36 @@ WITH RECURSIVE step(word, pos, tok, done) AS (
 SELECT word, list(tok ORDER BY pos) AS ids FROM step WHERE done GROUP BY word ORDER BY word
 """
 
+#: Pieces of words longer than this (bytes) are contracted at many places at once.
+LONG = 64
+# A pair may merge before lower ranks elsewhere if none is within reach ({reach} tokens, the bytes of the longest token): whatever merges there
+# cannot grow as far as the pair. A run of equal pairs merges only as a whole, so that it is taken from its leftmost pair on.
+CONTRACT_LONG = """
+WITH RECURSIVE step(word, pos, tok, done) AS (
+    SELECT word, pos, tok, false FROM start
+  UNION ALL
+    SELECT word, pos, CASE WHEN chosen THEN merged ELSE tok END, best IS NULL
+    FROM (
+        SELECT *, lag(chosen, 1, false) OVER (PARTITION BY word ORDER BY pos) AS swallowed
+        FROM (
+            SELECT *, coalesce(min((rank = near)::INT) OVER run = 1, false) AND (row_number() OVER (run ORDER BY pos)) % 2 = 1 AS chosen
+            FROM (
+                SELECT *, row_number() OVER (PARTITION BY word ORDER BY pos) - row_number() OVER (PARTITION BY word, rank ORDER BY pos) AS run_no,
+                       min(rank) OVER (PARTITION BY word ORDER BY pos ROWS BETWEEN {reach} PRECEDING AND {reach} FOLLOWING) AS near, min(rank) OVER (PARTITION BY word) AS best
+                FROM (
+                    SELECT c.word, c.pos, c.tok, m.rank, m.merged
+                    FROM (SELECT word, pos, tok, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS nxt FROM step WHERE NOT done) c
+                    LEFT JOIN merges m ON m.pair = c.tok::BIGINT * 1048576 + c.nxt
+                )
+            )
+            WINDOW run AS (PARTITION BY word, rank, run_no)
+        )
+    )
+    WHERE NOT swallowed
+)
+SELECT word, list(tok ORDER BY pos) AS ids FROM step WHERE done GROUP BY word ORDER BY word
+"""
+
 
 @lru_cache(maxsize=1)
 def _char_classes() -> np.ndarray:
@@ -118,8 +151,18 @@ class Encoder:
         left, right = (np.array([vocab[p[k]] for p in pairs], np.int64) for k in (0, 1))
         merges = pa.table({"pair": left * 1048576 + right, "rank": np.arange(len(pairs), dtype=np.int32), "merged": np.array([vocab[a + b] for a, b in pairs], np.int32)})  # noqa: F841
         self.db = duckdb.connect()
-        self.db.execute("SET threads = 1; SET memory_limit = '400MB'; SET preserve_insertion_order = false")
+        self.db.execute("SET threads = 1; SET memory_limit = '400MB'; SET temp_directory = ''; SET preserve_insertion_order = false")
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
+        back = {c: b for b, c in enumerate(_byte_letters())}
+        tokens = [bytes(map(back.__getitem__, t)) for t in vocab if all(c in back for c in t)]
+        flat = np.frombuffer(b"\0".join(tokens), np.uint8)
+        inside = np.ones(len(flat), bool)
+        inside[np.cumsum([len(t) + 1 for t in tokens])[:-1] - 1] = False
+        both = inside[:-1] & inside[1:]
+        #: Whether two bytes are side by side in any token.
+        self.meet = np.zeros((256, 256), bool)
+        self.meet[flat[:-1][both], flat[1:][both]] = True
+        self.by_length = sorted(tokens, key=len, reverse=True)
         self.clear()
 
     def clear(self) -> None:
@@ -130,13 +173,37 @@ class Encoder:
         _, off, data = words.buffers()
         o = np.frombuffer(off, np.int64)[words.offset : words.offset + len(words) + 1]
         tok = self.byte_id[np.frombuffer(data, np.uint8)[o[0] : o[-1]]]
-        n = np.diff(o)
-        start = pa.table({"word": np.repeat(np.arange(len(n), dtype=np.int32), n), "pos": (np.arange(len(tok)) - np.repeat(o[:-1] - o[0], n)).astype(np.int32), "tok": tok})  # noqa: F841
-        got = self.db.sql(CONTRACT).to_arrow_table()
+        data = np.frombuffer(data, np.uint8)[o[0] : o[-1]]
+        o = o - o[0]
+        cut = np.zeros(len(data) + 1, bool)
+        cut[1:-1] = ~self.meet[data[:-1], data[1:]]
+        cut[o] = True
+        piece = np.flatnonzero(cut)
+        n = np.diff(piece)
+        held = [t for t in (self._run(CONTRACT, tok, piece, np.flatnonzero(n <= LONG)), self._run(CONTRACT_LONG.format(reach=self._reach(data, piece[:-1][n > LONG], piece[1:][n > LONG])), tok, piece, np.flatnonzero(n > LONG))) if t is not None]
+        got = pa.concat_tables(held)
+        got = (got if len(held) == 1 else got.sort_by("word")).combine_chunks()
         ids = got.column("ids").combine_chunks()
         if isinstance(ids, pa.ChunkedArray):
             ids = pa.concat_arrays(ids.chunks)
-        return np.diff(np.asarray(ids.offsets)).astype(np.int64), np.asarray(ids.flatten(), np.int32)
+        each = np.diff(np.asarray(ids.offsets)).astype(np.int64)
+        return np.diff(np.concatenate(([0], np.cumsum(each)))[np.searchsorted(piece, o)]), np.asarray(ids.flatten(), np.int32)
+
+    def _reach(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> int:
+        """Bytes of the longest token that is made of these pieces' bytes."""
+        there: set[int] = set()
+        for lo, hi in zip(begin.tolist(), end.tolist(), strict=True):
+            there |= set(data[lo:hi].tobytes())
+        return next((len(t) for t in self.by_length if there.issuperset(t)), 1)
+
+    def _run(self, sql: str, tok: np.ndarray, bounds: np.ndarray, some: np.ndarray) -> pa.Table | None:
+        """The ids of the pieces ``some`` of ``tok``."""
+        if not len(some):
+            return None
+        n = np.diff(bounds)[some]
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        start = pa.table({"word": np.repeat(some.astype(np.int32), n), "pos": nth.astype(np.int32), "tok": tok[np.repeat(bounds[some], n) + nth]})  # noqa: F841
+        return self.db.sql(sql).to_arrow_table()
 
     def _lookup(self, words: pa.Array) -> np.ndarray:
         """Number in the store of each word; new words are added."""

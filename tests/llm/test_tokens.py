@@ -31,6 +31,24 @@ def test_store_of_words_may_start_anew(monkeypatch):
     assert first[0].tolist() == again[0].tolist() == [5, 0] and first[1].tolist() == again[1].tolist()
 
 
+def test_long_words():
+    """Unbroken words of any length have the library's ids, and cost no more a byte than short ones."""
+    import random
+    import time
+
+    lib = tokenizers.Tokenizer.from_file(f"{tokens.TOKENIZERS}/{tokens.VOCABULARY}")
+    r = random.Random(3)
+    texts = ["".join(r.choice(letters) for _ in range(n)) for letters in ("ab", "the", "aeinrst", "=-", "न", "0123456789abcdef", ["profit", "margin", "wage"]) for n in (63, 65, 200, 700)]
+    enc = tokens.Encoder(tokens.TOKENIZERS)
+    sizes, ids = enc.encode(pa.array(texts))
+    for text, got in zip(texts, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+        assert got.tolist() == lib.encode(text, add_special_tokens=False).ids
+    text = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000))
+    began = time.time()
+    assert enc.encode(pa.array([text]))[1].tolist() == lib.encode(text, add_special_tokens=False).ids
+    assert time.time() - began < 20
+
+
 def _check(plan, counts):
     """Every item once, no two in one place, no container too full; the share of the containers that is filled."""
     capacity = len(counts) - 1
