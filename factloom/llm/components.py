@@ -4,6 +4,8 @@ Each round rewrites the edges by distributed joins; no neighbourhood is ever gat
 smallest neighbour is a partial aggregation, and rewriting its edges is a join on the node. Nodes with very many
 edges ("hubs") would load one task of that join, so they are joined by broadcast: a node counts as a hub above
 2 * edges / HUBS edges, hence there are fewer than HUBS of them at any size of the data.
+
+Names are numbered once in their own order, the rounds compare and shuffle the numbers, and the result is named again.
 """
 
 from __future__ import annotations
@@ -93,6 +95,41 @@ def star_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     return now.select(F.col("v").alias("member"), F.col("u").alias("root")).unionByName(now.select(F.col("u").alias("member"), F.col("u").alias("root")).distinct())
 
 
+def _looked_up(rows: DataFrame, key: str, counted: DataFrame, value: str, n_rows: int) -> DataFrame:
+    """Adds ``value`` of ``counted(key, value, degree)``, which has each key of ``rows`` once with the number of its rows there: keys of very many rows by
+    broadcast (fewer than HUBS), the others by a join."""
+    threshold = max(LEAST_HUB_DEGREE, 2 * n_rows // HUBS)
+    if n_rows <= threshold:
+        return rows.join(counted.select(key, value), key)
+    hubs = counted.filter(F.col("degree") > threshold).select(key, F.col(value).alias("hub_value"))
+    split = rows.join(F.broadcast(hubs), key, "left")
+    others = split.filter("hub_value is null").drop("hub_value").join(counted.filter(F.col("degree") <= threshold).select(key, value), key)
+    return split.filter("hub_value is not null").withColumnRenamed("hub_value", value).unionByName(others)
+
+
+def named_components(edges: DataFrame) -> DataFrame:
+    """:func:`star_components` for nodes with names, in rounds over numbers. The numbers ascend with the names: a range partitioning by name, sorted, counted
+    through (they need not be without gaps), and written, so that a lost executor cannot number anew."""
+    spark = edges.sparkSession
+    edges, edges_path = write_work(edges.select("u", "v"), "named-edges")
+    n = edges.count()
+    degrees = edges.select(F.explode(F.array("u", "v")).alias("name")).groupBy("name").agg(F.count("*").alias("degree"))
+    numbered = degrees.repartitionByRange("name").sortWithinPartitions("name").withColumn("number", F.monotonically_increasing_id())
+    nodes, nodes_path = write_work(numbered, "nodes")
+    by_u = _looked_up(edges, "u", nodes.withColumnRenamed("name", "u"), "number", n).select("v", F.col("number").alias("nu"))
+    both = _looked_up(by_u, "v", nodes.withColumnRenamed("name", "v"), "number", n).select(F.col("nu").alias("u"), F.col("number").alias("v"))
+    found, found_path = write_work(star_components(both), "components")
+    drop_work(spark, edges_path)
+    members = found.join(nodes.select(F.col("number").alias("member"), "name"), "member").select("root", "name")
+    # sizes are counted by number; a component of very many members gets its name by broadcast
+    sizes = found.groupBy("root").agg(F.count("*").alias("degree"))
+    roots = sizes.join(nodes.select(F.col("number").alias("root"), F.col("name").alias("root_name")), "root")
+    out, _ = write_work(_looked_up(members, "root", roots, "root_name", 2 * n).select(F.col("name").alias("member"), F.col("root_name").alias("root")), "named-components")
+    for path in (nodes_path, found_path):
+        drop_work(spark, path)
+    return out
+
+
 def corroboration_groups(relationships: DataFrame) -> DataFrame:
     """``fact_id, group_id`` of every id that a corroborating verdict links to another id."""
-    return star_components(corroboration_edges(relationships)).select(F.col("member").alias("fact_id"), F.col("root").alias("group_id"))
+    return named_components(corroboration_edges(relationships)).select(F.col("member").alias("fact_id"), F.col("root").alias("group_id"))

@@ -38,3 +38,5 @@ def test_random_chains_and_hubs(spark, seed, monkeypatch):
     edges = [e for e in edges if e[0] != e[1]]
     got = {r.member: r.root for r in components.star_components(spark.createDataFrame(edges, "u string, v string")).collect()}
     assert got == brute(edges)
+    named = {r.member: r.root for r in components.named_components(spark.createDataFrame(edges, "u string, v string")).collect()}
+    assert named == got
