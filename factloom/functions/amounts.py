@@ -184,57 +184,75 @@ def read_value(value: str | None) -> Reading | None:
 
 
 _PREFIX = re.compile(r"(?:rs\.?|inr|usd|us\$|eur|gbp|jpy|[$€£¥₹])\s*[-(]?\s*$", re.I)
-_SUFFIX_STOP = re.compile(r"[,;|(\[\n]|\.(?=\s|$)(?!\s*(?:rs|inr|usd|rupees|us |u\.s|eur|euro|gbp|pounds|jpy|yen|[a-z]))| (?:in|for|during|at|as|to|against|up|down|better|and|from|by|on)\b")
 
 
-def beside(statement: str | None, number: Decimal) -> Phrase | None:
-    """The phrase beside the same number in a sentence; None if the number does not occur or nothing known stands beside it."""
+_LEAD = re.compile(r"\s*\)?\s*")
+_WORD = re.compile(r"\s*(?:'000|[%$€£¥₹]|[^\W\d_][\w²/()'-]*\.?|/)")
+_PARTIAL = re.compile(r"(?:us|u|u s|sq|square|per|basis|percentage|metric|pounds|lakh|kilowatt|megawatt|gigawatt|u\.s)")
+_GLUED = re.compile(r"(?:rs|inr|usd|eur|gbp|jpy)$", re.I)
+_NUMBERED = re.compile(r"\b(?:zone|plant|branch|depot|circle|terminal|table|note|column|page)\s*$", re.I)
+#: More than any mark before a number is long, once white space is single.
+_BEFORE = 16
+
+
+def all_beside(statement: str | None, number: Decimal) -> list[Phrase]:
+    """The phrases with a unit beside the same number in a sentence, one per unit, in the order of the sentence."""
     s = plain(statement)
-    found = None
+    found: dict[str, Phrase] = {}
     for m in NUMBER.finditer(s):
         try:
             if number_of(m[0]) != abs(number):
                 continue
         except ArithmeticError:
             continue
-        if m.start() and (s[m.start() - 1].isalnum() or s[m.start() - 1] in "'") and not re.search(r"(?:rs|inr|usd|eur|gbp|jpy)$", s[: m.start()], re.I):
+        before = s[max(0, m.start() - _BEFORE) : m.start()]
+        if before and (before[-1].isalnum() or before[-1] == "'") and not _GLUED.search(before):
             continue
-        if re.search(r"\b(?:zone|plant|branch|depot|circle|terminal|table|note|column|page)\s*$", s[: m.start()], re.I):
+        if _NUMBERED.search(before):
             continue
-        p = _PREFIX.search(s[: m.start()])
-        tail = s[m.end() : m.end() + 40]
-        lead = re.match(r"\s*\)?\s*", tail).end()
-        words = ""
-        rest = tail[lead:]
-        while w := re.match(r"\s*(?:'000|[%$€£¥₹]|[^\W\d_][\w²/()'-]*\.?|/)", rest):
-            grown = (words + w[0]) if words else w[0]
+        p = _PREFIX.search(before)
+        words, at = "", _LEAD.match(s, m.end()).end()
+        while w := _WORD.match(s, at):
+            grown = words + w[0]
             read = read_phrase(grown)
-            if read.rest and not re.fullmatch(r"(?:us|u|u s|sq|square|per|basis|percentage|metric|pounds|lakh|kilowatt|megawatt|gigawatt|u\.s)", read.rest):
+            if read.rest and not _PARTIAL.fullmatch(read.rest):
                 break
-            words, rest = grown, rest[w.end() :]
+            words, at = grown, w.end()
         read = read_phrase(f"{p[0] if p else ''} {words}")
         if read.unit and not read.clash:
-            return read
-        found = found or (read if read.scale else None)
-    return found if found and found.unit else None
+            found.setdefault(read.unit, read)
+    return list(found.values())
+
+
+def beside(statement: str | None, number: Decimal) -> Phrase | None:
+    """The first of :func:`all_beside`."""
+    return next(iter(all_beside(statement, number)), None)
 
 
+# Units that share a spelling with another unit of the catalogue.
+NAMESAKES = {"pound": "pound_sterling"}
 _NOTE = re.compile(r">>>.*?<<<", re.S)
 _NOTE_WORDS = re.compile(r"\b(?:statement|annexure|notes?|form|part|of|the|all|amounts?|figures?|values?|are|is|in|unless|otherwise|stated|rounded|expressed|reported|currency|unit|units of|numbers are)\b|[()\[\]:;,>|]", re.I)
 
 
 @lru_cache(maxsize=50_000)
+def general_notes(window: str | None) -> tuple[Phrase, ...]:
+    """The general notes around an extract (``>>> ... <<<`` is the extract itself): the lines that say a unit and nothing else, one per unit, in order."""
+    found: dict[str, Phrase] = {}
+    if window and window.strip():
+        for line in re.split(r"[\n\r]+|(?<=annexure\.)\s", _NOTE.sub("\n", window)):
+            s = plain(line)
+            if not s:
+                continue
+            for part in (s, *re.findall(r"[(\[]([^()\[\]]*(?:\([^()]*\))?[^()\[\]]*)[)\]]", s)):
+                words = _NOTE_WORDS.sub(" ", re.sub(r"day\(s\)", "days", part, flags=re.I))
+                read = read_phrase(re.sub(r"\s+", " ", words).strip())
+                if read.unit and not read.clash and not read.rest:
+                    found.setdefault(read.unit, read)
+                    break
+    return tuple(found.values())
+
+
 def general_note(window: str | None) -> Phrase | None:
-    """The general note around an extract (``>>> ... <<<`` is the extract itself): the first line that says a unit and nothing else."""
-    if not window or not window.strip():
-        return None
-    for line in re.split(r"[\n\r]+|(?<=annexure\.)\s", _NOTE.sub("\n", window)):
-        s = plain(line)
-        if not s:
-            continue
-        for part in (s, *re.findall(r"[(\[]([^()\[\]]*(?:\([^()]*\))?[^()\[\]]*)[)\]]", s)):
-            words = _NOTE_WORDS.sub(" ", re.sub(r"day\(s\)", "days", part, flags=re.I))
-            read = read_phrase(re.sub(r"\s+", " ", words).strip())
-            if read.unit and not read.clash and not read.rest:
-                return read
-    return None
+    """The first of :func:`general_notes`."""
+    return next(iter(general_notes(window)), None)
