@@ -79,13 +79,13 @@ def _merge(boxes: list[list[float]]) -> list[list[float]]:
     return boxes
 
 
-def merge_regions(runs: DataFrame) -> DataFrame:
-    """Regions of a page: the runs' boxes with a margin, merged in order while they grow. A page's runs are few; the order matters,
+def merge_regions(runs: DataFrame, width: float = float("inf"), height: float = float("inf")) -> DataFrame:
+    """Regions of a page: the runs' boxes with a margin, clamped to the page (from 0 to ``width`` and ``height``), merged in order while they grow. A page's runs are few; the order matters,
     so the fixpoint runs per page on Arrow batches."""
 
     def per_page(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["col_anchor", "run"])
-        boxes = [[r.left - MARGIN, r.top_y - MARGIN, r.right + MARGIN, r.bottom_y + MARGIN] for r in pdf.itertuples()]
+        boxes = [[max(0.0, r.left - MARGIN), max(0.0, r.top_y - MARGIN), min(width, r.right + MARGIN), min(height, r.bottom_y + MARGIN)] for r in pdf.itertuples()]
         out = _merge([list(map(float, b)) for b in boxes])
         return pd.DataFrame({"document_id": pdf["document_id"].iloc[0], "page_number": pdf["page_number"].iloc[0], "region": range(len(out)), "x0": [b[0] for b in out], "y0": [b[1] for b in out], "x1": [b[2] for b in out], "y1": [b[3] for b in out]})
 

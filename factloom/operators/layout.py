@@ -36,15 +36,18 @@ def running_bands(blocks: DataFrame) -> DataFrame:
     """``document_id, lo, hi, kind``: bands that hold a block on at least half of the pages (two at least) near the top or the foot.
 
     Heights are chained into clusters while the step is at most BAND (``lag`` and a running sum); a band lies around each mean. Blocks are
-    normalised. One document's distinct heights are the unit of work; they are bounded by its pages.
+    normalised. A document may hold any share of the blocks: equal heights are counted first, so that the window and the join see a document's distinct heights
+    (each with its pages) and not its blocks. All pages count, also those without text.
     """
     mids = blocks.filter("block_type = 0").select(*PAGE, _y_mid().alias("y"))
+    heights = mids.groupBy("document_id", "y").agg(F.count("*").alias("n"), F.collect_set("page_number").alias("pages"))
     w = Window.partitionBy("document_id").orderBy("y")
-    stepped = mids.withColumn("new", F.coalesce((F.col("y") - F.lag("y").over(w) > BAND).cast("int"), F.lit(1)))
-    clusters = stepped.withColumn("c", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("document_id", "c").agg(F.round(F.avg("y"), 6).alias("centre"))
+    stepped = heights.withColumn("new", F.coalesce((F.col("y") - F.lag("y").over(w) > BAND).cast("int"), F.lit(1)))
+    clusters = stepped.withColumn("c", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("document_id", "c").agg(F.round(F.sum(F.col("y") * F.col("n")) / F.sum("n"), 6).alias("centre"))
     bands = clusters.filter((F.col("centre") < HEADER) | (F.col("centre") > FOOTER)).select("document_id", "centre")
-    pages = mids.groupBy("document_id").agg(F.countDistinct("page_number").alias("n_pages")).filter(F.col("n_pages") >= 2)
-    hits = bands.join(mids, "document_id").filter(F.abs(F.col("y") - F.col("centre")) <= BAND + 1e-9).groupBy("document_id", "centre").agg(F.countDistinct("page_number").alias("hits"))
+    pages = blocks.select(*PAGE).distinct().groupBy("document_id").agg(F.count("*").alias("n_pages")).filter(F.col("n_pages") >= 2)
+    near = bands.join(heights, "document_id").filter(F.abs(F.col("y") - F.col("centre")) <= BAND + 1e-9)
+    hits = near.select("document_id", "centre", F.explode("pages").alias("page")).distinct().groupBy("document_id", "centre").agg(F.count("*").alias("hits"))
     kept = hits.join(pages, "document_id").filter((F.col("hits") >= MIN_PAGES) & (F.col("hits") >= MIN_SHARE * F.col("n_pages")))
     return kept.select("document_id", F.round(F.col("centre") - BAND, 6).alias("lo"), F.round(F.col("centre") + BAND, 6).alias("hi"), F.when(F.col("centre") < HEADER, "header").otherwise("footer").alias("kind"), "hits")
 
@@ -118,7 +121,7 @@ def column_bands(centres: DataFrame) -> DataFrame:
     w = Window.partitionBy(*PAGE).orderBy("col_index")
     lo = F.coalesce((F.col("centre") + F.lag("centre").over(w)) / 2, F.lit(0.0))
     hi = F.coalesce((F.col("centre") + F.lead("centre").over(w)) / 2, F.lit(1.0))
-    return centres.select(*PAGE, "col_index", F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"))
+    return centres.select(*PAGE, "col_index", F.round(lo, 7).alias("lo"), F.round(hi, 7).alias("hi"))
 
 
 def classify_spans(blocks: DataFrame, bands: DataFrame) -> DataFrame:
@@ -132,14 +135,16 @@ def classify_spans(blocks: DataFrame, bands: DataFrame) -> DataFrame:
 
 
 def merge_paragraphs(blocks: DataFrame) -> DataFrame:
-    """Blocks of a column that follow each other closely become one: ``x0, y0, x1, y1, text, first_block, n_blocks``."""
+    """Blocks of a column that follow each other closely become one: ``x0, y0, x1, y1, text, first_block, n_blocks``. White space is taken off where
+    texts meet, and stays at the ends."""
     w = Window.partitionBy(*PAGE, "col_index").orderBy("y0", "block_no")
     new = F.coalesce((F.round(F.col("y0") - F.lag("y1").over(w), 9) >= PARAGRAPH_GAP).cast("int"), F.lit(1))
     runs = blocks.filter("not spanning").withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     strip = F.regexp_replace("text", r"^\s+|\s+$", "")
     pieces = F.array_sort(F.collect_list(F.when(strip != "", F.struct("y0", "block_no", strip.alias("t")))))
     ends = F.struct("y0", "block_no")
-    grouped = runs.groupBy(*PAGE, "col_index", "run").agg(F.min("x0").alias("x0"), F.min("y0").alias("top"), F.max("x1").alias("x1"), F.max_by("y1", ends).alias("y1"), F.array_join(F.transform(pieces, lambda p: p["t"]), " ").alias("text"), F.min_by("block_no", ends).alias("first_block"), F.count("*").alias("n_blocks"))
+    lead, trail = F.min_by(F.regexp_extract("text", r"^(\s*)", 1), ends), F.max_by(F.regexp_extract("text", r"(\s*)$", 1), ends)
+    grouped = runs.groupBy(*PAGE, "col_index", "run").agg(F.min("x0").alias("x0"), F.min("y0").alias("top"), F.max("x1").alias("x1"), F.max_by("y1", ends).alias("y1"), F.concat(lead, F.array_join(F.transform(pieces, lambda p: p["t"]), " "), trail).alias("text"), F.min_by("block_no", ends).alias("first_block"), F.count("*").alias("n_blocks"))
     return grouped.withColumnRenamed("top", "y0").drop("run")
 
 
@@ -153,10 +158,13 @@ def order_blocks(merged: DataFrame, spanning: DataFrame) -> DataFrame:
     return keyed.withColumn("order_index", F.row_number().over(page.orderBy("k", "y0", F.desc("spanning"), "first_block")) - 1).drop("k")
 
 
-def layout(blocks: DataFrame) -> DataFrame:
-    """The whole of it: heads and feet off, columns, spans, paragraphs, order. Input in page units."""
+def layout(blocks: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """The whole of it: heads and feet off, what tables cover off, columns, spans, paragraphs, order. Input in page units."""
     norm = normalise_boxes(text_blocks(blocks))
     body = strip_bands(norm, running_bands(normalise_boxes(blocks)))
+    if tables is not None:
+        keyed = body.withColumn("key", F.struct(*PAGE, "block_no"))
+        body = without_covered(keyed, normalise_boxes(tables), "key").drop("key")
     spans = classify_spans(body, column_bands(column_centres(body)))
     return order_blocks(merge_paragraphs(spans), spans.filter("spanning"))
 

@@ -12,20 +12,21 @@ def latest_facts(facts: DataFrame) -> DataFrame:
     return facts.filter("fact_id is not null").groupBy("fact_id").agg(F.max_by(F.struct(*cols), "ingest_seq").alias("f")).select("fact_id", "f.*")
 
 
-def relationship_rank() -> Column:
-    return F.struct(F.coalesce("created_at", F.lit(float("-inf"))), F.coalesce("relationship_type", F.lit("")), F.coalesce("confidence", F.lit(0.0)), F.coalesce("justification", F.lit("")))
+def relationship_rank(typed_first: bool = False) -> Column:
+    first = [F.col("relationship_type").isNotNull()] if typed_first else []
+    return F.struct(*first, F.coalesce("created_at", F.lit(float("-inf"))), F.coalesce("relationship_type", F.lit("")), F.coalesce("confidence", F.lit(0.0)), F.coalesce("justification", F.lit("")))
 
 
-def latest_relationships(edges: DataFrame) -> DataFrame:
-    """One row per directed pair, the one made last; ties go to the greatest row."""
+def latest_relationships(edges: DataFrame, typed_first: bool = False) -> DataFrame:
+    """One row per directed pair, the one made last; ties go to the greatest row. ``typed_first``: rows without a type only where there is no other."""
     cols = ["relationship_type", "confidence", "justification", "created_at"]
-    return edges.filter("fact_id_a is not null and fact_id_b is not null").groupBy("fact_id_a", "fact_id_b").agg(F.max_by(F.struct(*cols), relationship_rank()).alias("e")).select("fact_id_a", "fact_id_b", "e.*")
+    return edges.filter("fact_id_a is not null and fact_id_b is not null").groupBy("fact_id_a", "fact_id_b").agg(F.max_by(F.struct(*cols), relationship_rank(typed_first)).alias("e")).select("fact_id_a", "fact_id_b", "e.*")
 
 
-def symmetric_upsert(edges: DataFrame) -> DataFrame:
+def symmetric_upsert(edges: DataFrame, typed_first: bool = False) -> DataFrame:
     """Stores every edge in both directions; the last one made per direction wins."""
     swapped = edges.select(F.col("fact_id_b").alias("fact_id_a"), F.col("fact_id_a").alias("fact_id_b"), "relationship_type", "confidence", "justification", "created_at")
-    return latest_relationships(edges.select(*swapped.columns).unionByName(swapped))
+    return latest_relationships(edges.select(*swapped.columns).unionByName(swapped), typed_first)
 
 
 def cascade_delete(facts: DataFrame, edges: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
