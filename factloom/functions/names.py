@@ -19,8 +19,6 @@ BEFORE = re.compile(r"^(?:m/s\.?|messrs\.?|the|reported)[\s_]+")
 AFTER = re.compile(r"\((?:[^()]*)\)\s*$|\bgroup of companies\s*$")
 QUOTES = re.compile(r"[\"“”„«»`]+|^'+|'+$")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-#: Digits that stand for letters in scanned text.
-SCANNED = str.maketrans("01535", "olsss")
 
 
 def words_of(raw: str | None) -> list[str]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Factors of the scale words.
@@ -83,35 +83,48 @@ def _year(y: Column) -> Column:
     return F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y)
 
 
-def period(text: Column) -> Column:
-    """``struct<period, vintage>``; both null if no period is found."""
-    y1, y2 = _group(text, FY_LONG, 1), _group(text, FY_LONG, 2)
+def _period(y1: Column, y2: Column, q: Column, q_year: Column, fy: Column, year: Column) -> Column:
     long = F.concat(y1, F.lit("-"), F.when(F.length(y2) == 2, F.concat(F.substring(y1, 1, 2), y2)).otherwise(y2))
-    q = _group(text, QUARTER, 1)
-    fy = _group(text, FY_SHORT, 1)
-    year = _group(text, YEAR, 1)
     kind = F.when(y1.isNotNull(), "FY").when(q.isNotNull(), F.upper(q)).when(fy.isNotNull(), "FY").when(year.isNotNull(), "annual")
-    vintage = F.when(y1.isNotNull(), long).when(q.isNotNull(), F.concat(F.lit("FY"), _year(_group(text, QUARTER, 2)))).when(fy.isNotNull(), F.concat(F.lit("FY"), _year(fy))).otherwise(year)
+    vintage = F.when(y1.isNotNull(), long).when(q.isNotNull(), F.concat(F.lit("FY"), _year(q_year))).when(fy.isNotNull(), F.concat(F.lit("FY"), _year(fy))).otherwise(year)
     return F.struct(kind.alias("period"), vintage.alias("vintage"))
 
 
-def normalized(value: Column, unit: Column) -> Column:
-    """``struct<normalized_value, normalized_unit, currency, currency_conflict, period, vintage, parse_ok>``: basis points, percent, number
-    with scale, period, or nothing, in this order. A null or blank value parses to nothing."""
-    bps, pct, num = basis_points(value), percent(value), number(value)
-    plain_unit = F.nullif(unit, F.lit(""))
-    code = F.coalesce(currency(value), currency(unit))
-    key = scale_key(value, unit)
-    p = period(strip(value))
-    is_num = num.isNotNull()
-    is_period = p["period"].isNotNull()
-    simple = bps.isNotNull() | pct.isNotNull()
-    return F.struct(
-        F.when(bps.isNotNull(), bps).when(pct.isNotNull(), pct).when(is_num, num * scale_factor(key)).alias("normalized_value"),
-        F.when(bps.isNotNull(), "bps").when(pct.isNotNull(), "%").when(is_num, F.coalesce(code, key, plain_unit)).when(is_period, "period").otherwise(plain_unit).alias("normalized_unit"),
-        F.when(~simple & is_num, code).alias("currency"),
-        (~simple & is_num & currency_conflict(value, unit)).alias("currency_conflict"),
-        F.when(~simple & ~is_num, p["period"]).alias("period"),
-        F.when(~simple & ~is_num, p["vintage"]).alias("vintage"),
-        (simple | is_num | is_period).alias("parse_ok"),
-    )
+def period(text: Column) -> Column:
+    """``struct<period, vintage>``; both null if no period is found."""
+    return _period(*[_group(text, p, k) for p, k in ((FY_LONG, 1), (FY_LONG, 2), (QUARTER, 1), (QUARTER, 2), (FY_SHORT, 1), (YEAR, 1))])
+
+
+#: What a normalised value consists of.
+NORMALIZED = ("normalized_value", "normalized_unit", "currency", "currency_conflict", "period", "vintage", "parse_ok")
+
+
+def with_normalized(df: DataFrame, value: str = "value", unit: str = "unit") -> DataFrame:
+    """Adds the columns NORMALIZED: basis points, percent, number with scale, period, or nothing, in this order. A null or blank value parses to nothing.
+
+    Each pattern is applied once, in a step of its own below the columns made of its groups: columns that are used several times are not pulled up into them, so
+    that the generated code stays small.
+    """
+    v, u = F.col(value), F.col(unit)
+    groups = {
+        "_bare": strip(F.regexp_replace(v, ",", "")), "_text": strip(v), "_bps": basis_points(v), "_pct": percent(v), "_cv": currency(v), "_cu": currency(u), "_su": _group(u, rf"(?i)\b({SCALE_WORDS})\b", 1),
+    }
+    step = df.withColumns(groups)
+    bare, text = F.col("_bare"), F.col("_text")
+    step = step.withColumns({"_n": _group(bare, NUMERIC, 1).cast("double"), "_sv": _group(bare, NUMERIC, 2), "_y1": _group(text, FY_LONG, 1), "_y2": _group(text, FY_LONG, 2), "_q": _group(text, QUARTER, 1), "_qy": _group(text, QUARTER, 2), "_fy": _group(text, FY_SHORT, 1), "_yr": _group(text, YEAR, 1)})
+    c = {k: F.col(f"_{k}") for k in ("bps", "pct", "n", "cv", "cu", "y1", "y2", "q", "qy", "fy", "yr")}
+    step = step.withColumns({"_key": F.coalesce(_scale_key(F.col("_sv")), _scale_key(F.col("_su"))), "_simple": c["bps"].isNotNull() | c["pct"].isNotNull(), "_p": _period(c["y1"], c["y2"], c["q"], c["qy"], c["fy"], c["yr"])})
+    key, simple, p = F.col("_key"), F.col("_simple"), F.col("_p")
+    is_num, is_period = c["n"].isNotNull(), p["period"].isNotNull()
+    code = F.coalesce(c["cv"], c["cu"])
+    plain_unit = F.nullif(u, F.lit(""))
+    out = step.withColumns({
+        "normalized_value": F.when(c["bps"].isNotNull(), c["bps"]).when(c["pct"].isNotNull(), c["pct"]).when(is_num, c["n"] * scale_factor(key)),
+        "normalized_unit": F.when(c["bps"].isNotNull(), "bps").when(c["pct"].isNotNull(), "%").when(is_num, F.coalesce(code, key, plain_unit)).when(is_period, "period").otherwise(plain_unit),
+        "currency": F.when(~simple & is_num, code),
+        "currency_conflict": ~simple & is_num & F.coalesce(c["cv"] != c["cu"], F.lit(False)),
+        "period": F.when(~simple & ~is_num, p["period"]),
+        "vintage": F.when(~simple & ~is_num, p["vintage"]),
+        "parse_ok": simple | is_num | is_period,
+    })
+    return out.drop(*[x for x in out.columns if x.startswith("_") and x not in df.columns])

@@ -96,17 +96,21 @@ def verdict(a: str, b: str, block_cross_currency: bool = False) -> Column:
 
 def normalised_side(facts: DataFrame, side: str) -> DataFrame:
     """Columns of one side of a pair, prefixed."""
-    n = facts.select("fact_id", units.normalized(F.col("value"), F.col("unit")).alias("n"), scope_marks(F.col("scope")).alias("marks"))
-    return n.select(F.col("fact_id").alias(f"{side}_id"), F.col("n.normalized_value").alias(f"{side}_value"), F.col("n.normalized_unit").alias(f"{side}_unit"), F.col("n.currency").alias(f"{side}_currency"), F.col("n.parse_ok").alias(f"{side}_ok"), F.col("marks").alias(f"{side}_marks"))
+    n = units.with_normalized(facts.select("fact_id", "value", "unit", scope_marks(F.col("scope")).alias("marks")))
+    return n.select(F.col("fact_id").alias(f"{side}_id"), F.col("normalized_value").alias(f"{side}_value"), F.col("normalized_unit").alias(f"{side}_unit"), F.col("currency").alias(f"{side}_currency"), F.col("parse_ok").alias(f"{side}_ok"), F.col("marks").alias(f"{side}_marks"))
 
 
 def judge_pairs(pairs: DataFrame, facts: DataFrame, block_cross_currency: bool = False) -> DataFrame:
-    """``fact_id_a, fact_id_b, rule_verdict`` for pairs ``fact_id_a, fact_id_b``; null verdicts are the judge's queue. Pairs with an
+    """``fact_id_a, fact_id_b, rule_verdict, confidence, justification`` for pairs ``fact_id_a, fact_id_b``; null verdicts are the judge's queue. Pairs with an
     id that the facts lack are left out."""
     every = materialize(normalised_side(facts, "a"), "sides")  # each fact is normalised once, however many pairs it is in
     a, b = every, every.withColumnsRenamed({c: f"b{c[1:]}" for c in every.columns})
     joined = pairs.select(F.col("fact_id_a").alias("a_id"), F.col("fact_id_b").alias("b_id")).join(a, "a_id").join(b, "b_id")
-    return joined.select(F.col("a_id").alias("fact_id_a"), F.col("b_id").alias("fact_id_b"), verdict("a", "b", block_cross_currency).alias("rule_verdict"))
+    said = joined.select(F.col("a_id").alias("fact_id_a"), F.col("b_id").alias("fact_id_b"), verdict("a", "b", block_cross_currency).alias("rule_verdict"), "a_value", "b_value", "a_unit", "b_unit")
+    sure = F.col("rule_verdict").isNotNull()
+    figures = F.concat_ws(" ", F.lit("The two figures agree within the tolerance:"), F.col("a_value").cast("string"), "a_unit", F.lit("and"), F.col("b_value").cast("string"), "b_unit")
+    text = F.concat(figures, F.when(F.col("rule_verdict") == "corroborates", "; the scopes are the same.").otherwise("; the scopes differ."))
+    return said.select("fact_id_a", "fact_id_b", "rule_verdict", F.when(sure, 1.0).alias("confidence"), F.when(sure, text).alias("justification"))
 
 
 def parse_judgement(text: Column) -> Column:

@@ -32,10 +32,21 @@ def is_equation(text: Column) -> Column:
     return F.coalesce((F.length(text) > 0) & (numbered | (signs / F.length(text) > 0.15)), F.lit(False))
 
 
-def table_text(table: Column) -> Column:
-    """A table as lines of cells; null cells are empty, null rows are left out."""
+def table_text(table: Column, caption: Column | None = None) -> Column:
+    """A table as lines of cells, after a caption if it has one; null cells are empty, null rows are left out."""
     rows = F.filter(table, lambda r: r.isNotNull())
-    return F.array_join(F.transform(rows, lambda r: F.array_join(r, " | ", "")), "\n")
+    lines = F.array_join(F.transform(rows, lambda r: F.array_join(r, " | ", "")), "\n")
+    return lines if caption is None else F.concat(F.when(caption != "", F.concat(F.lit("Caption: "), caption, F.lit("\n\n"))).otherwise(""), lines)
+
+
+def route(chunk_type: Column) -> Column:
+    """The prompt for a chunk: ``text``, ``table`` or ``chart`` (images go to a model that sees); others get none."""
+    return F.when(chunk_type == "text", "text").when(chunk_type == "table", "table").when(chunk_type == "chart_candidate", "chart")
+
+
+def source_type(chunk_type: Column) -> Column:
+    """The source of a fact by its chunk."""
+    return F.when(chunk_type == "chart_candidate", "chart").when(chunk_type == "table", "table").otherwise("text")
 
 
 def parse_answers(answers: DataFrame) -> DataFrame:
@@ -70,12 +81,44 @@ def dedup_within_document(facts: DataFrame) -> DataFrame:
     return keyed.select("document_id", "hash", F.col("first.fact_id").alias("fact_id"), "n_facts", F.size("chunks").alias("n_chunks"))
 
 
+def occurrences(facts: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``document_id, hash, nth, page_number, bbox``: the distinct places of the facts that are one by :func:`dedup_within_document`, in the order of arrival from 0.
+    Facts without a chunk have no place. One row per place, so no group is gathered in a list."""
+    placed = facts.select("document_id", F.lower("content_hash").alias("hash"), "ingest_seq", F.col("source_chunk_id").alias("chunk_id")).join(chunks.select("chunk_id", "page_number", "bbox"), "chunk_id")
+    first = placed.groupBy("document_id", "hash", "page_number", "bbox").agg(F.min(F.struct("ingest_seq", "chunk_id")).alias("at"))
+    w = Window.partitionBy("document_id", "hash").orderBy("at")
+    return first.select("document_id", "hash", (F.row_number().over(w) - 1).alias("nth"), "page_number", "bbox")
+
+
 def extract(chunks: DataFrame, extractor: Callable[[list[dict]], list[str]], columns: tuple[str, ...] = ("chunk_id", "chunk_type", "text", "context_window")) -> DataFrame:
-    """Runs an injected extractor over chunks in Arrow batches and parses its answers. The equation filter runs before it."""
-    ready = chunks.filter(~((F.col("chunk_type") == "text") & is_equation(F.col("text")))).select(*columns)
+    """Runs an injected extractor over chunks (``document_id, page_number, bbox, image_path, context_window`` beside ``columns``) in Arrow batches and makes facts of its answers.
+
+    The equation filter runs before it; each record carries the ``prompt`` that its type takes (:func:`route`), types without one are left out. An answer that is
+    broken, or a batch on which the extractor fails, gives no facts; the other chunks keep theirs. Facts of texts and tables without a quote are dropped, facts of charts carry
+    the chunk's image, and each has its source type, place and ``content_hash``.
+    """
+    ready = chunks.filter(~F.coalesce((F.col("chunk_type") == "text") & is_equation(F.col("text")), F.lit(False))).withColumn("prompt", route(F.col("chunk_type"))).filter("prompt is not null")
+
+    def one(record: dict) -> str | None:
+        try:
+            return extractor([record])[0]
+        except Exception:  # noqa: BLE001
+            return None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"chunk_id": b["chunk_id"], "answer": extractor(b.to_dict("records"))})
-
-    return parse_answers(ready.mapInPandas(run, "chunk_id string, answer string"))
+            records = b.to_dict("records")
+            try:
+                answers = extractor(records)
+            except Exception:  # noqa: BLE001
+                answers = [one(r) for r in records]
+            yield pd.DataFrame({"chunk_id": b["chunk_id"], "answer": answers})
+
+    said = parse_answers(ready.select(*columns, "prompt").mapInPandas(run, "chunk_id string, answer string"))
+    held = said.join(chunks.select("chunk_id", "document_id", "chunk_type", "page_number", "bbox", "image_path", F.when(F.col("chunk_type") == "text", F.col("context_window")).alias("evidence_context_window")), "chunk_id")
+    held = held.withColumn("source_type", source_type(F.col("chunk_type"))).filter(passes_evidence_gate(F.col("source_type"), F.coalesce("evidence_quote", F.lit(""))))
+    image = F.create_map(F.lit("image_path"), F.col("image_path"))
+    context = F.coalesce("context", F.create_map().cast("map<string,string>"))
+    held = held.withColumn("context", F.when((F.col("source_type") == "chart") & F.col("image_path").isNotNull(), F.map_concat(F.map_filter(context, lambda k, _: k != "image_path"), image)).otherwise(F.col("context")))
+    scope = F.array_join(F.transform(F.array_sort(F.map_entries("temporal_scope")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return held.withColumn("content_hash", content_hash(F.col("canonical_entity"), F.col("raw_attribute"), F.col("value"), scope)).drop("chunk_type", "image_path")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import similarity
 from factloom.operators import knn
+from factloom.session import materialize
 
 THRESHOLD = 0.85
 TOKEN_SET = 90.0
@@ -59,6 +60,16 @@ def snap(names: DataFrame, registry: DataFrame) -> DataFrame:
     return names.join(hit, "name", "left").select("name", F.coalesce("m.known", "name").alias("snapped"), F.coalesce("m.how", F.lit("none")).alias("how"))
 
 
+def snap_cascade(names: DataFrame, registry: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``name, snapped, how``: :func:`snap`, and where no entry matches by its letters the most similar one by cosine from the threshold on (``meaning``), else the
+    name itself (``none``), which :func:`grow_registry` makes an entry. ``names(name, embedding)``, ``registry(seq, name, embedding)``."""
+    lexical = materialize(snap(names.select("name"), registry), "snapped")
+    rest = names.join(lexical.filter("how = 'none'").select("name"), "name", "left_semi")
+    near = resolve(rest, registry, threshold).filter("name <> resolved and resolved <> ''").select("name", "resolved")
+    known = near.join(registry.select(F.col("name").alias("resolved")).distinct(), "resolved", "left_semi")
+    return lexical.join(known, "name", "left").select("name", F.coalesce("resolved", "snapped").alias("snapped"), F.when(F.col("resolved").isNotNull(), "meaning").otherwise(F.col("how")).alias("how"))
+
+
 def similar_words(names: DataFrame, registry: DataFrame, least: float = TOKEN_SET) -> DataFrame:
     """``name, seq, score``: entries whose words score more than ``least``."""
 

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from factloom import interfaces
 from factloom.functions import similarity, units
-from factloom.operators import compare, detection, extraction, graph, knn, layout, matching, store
+from factloom.operators import compare, detection, extraction, graph, knn, layout, matching, pipeline, store
 from factloom.sources import pages
 from factloom.sources.tables import table
 from factloom.streaming import ingest
@@ -366,9 +366,14 @@ def equation_filter(s, d):
     return table(s, d, "documents").select("doc_id", extraction.is_equation(F.col("text")).alias("filtered"))
 
 
-@query("table_to_text", "ch", r"SELECT chunk_id, coalesce(array_to_string(list_transform(list_filter(table_data, lambda r: r IS NOT NULL), lambda r: coalesce(array_to_string(list_transform(r, lambda c: coalesce(c, '')), ' | '), '')), E'\n'), '') AS table_text FROM ch WHERE table_data IS NOT NULL")
+@query("table_to_text", "ch", r"SELECT chunk_id, CASE WHEN text <> '' THEN 'Caption: ' || text || E'\n\n' ELSE '' END || coalesce(array_to_string(list_transform(list_filter(table_data, lambda r: r IS NOT NULL), lambda r: coalesce(array_to_string(list_transform(r, lambda c: coalesce(c, '')), ' | '), '')), E'\n'), '') AS table_text FROM ch WHERE table_data IS NOT NULL")
 def table_to_text(s, d):
-    return _ch(s, d).filter("table_data is not null").select("chunk_id", extraction.table_text(F.col("table_data")).alias("table_text"))
+    return _ch(s, d).filter("table_data is not null").select("chunk_id", extraction.table_text(F.col("table_data"), F.col("text")).alias("table_text"))
+
+
+@query("prompt_route", "ch", "SELECT chunk_id, CASE chunk_type WHEN 'text' THEN 'text' WHEN 'table' THEN 'table' WHEN 'chart_candidate' THEN 'chart' END AS prompt, CASE chunk_type WHEN 'chart_candidate' THEN 'chart' WHEN 'table' THEN 'table' ELSE 'text' END AS source_type FROM ch")
+def prompt_route(s, d):
+    return _ch(s, d).select("chunk_id", extraction.route(F.col("chunk_type")).alias("prompt"), extraction.source_type(F.col("chunk_type")).alias("source_type"))
 
 
 def _answers(s, d):
@@ -389,9 +394,16 @@ def llm_parse_rate(s, d):
     return a.join(ok, "chunk_id", "left").agg(F.count("*").alias("n_answers"), F.sum(F.coalesce("ok", F.lit(0))).alias("n_valid"), F.round(F.avg(F.coalesce("ok", F.lit(0))) * 100, 4).alias("valid_percent"))
 
 
-@query("evidence_gate", "store", "SELECT fact_id, source_type, source_type = 'chart' OR coalesce(statement, '') <> '' AS passes FROM store")
+@query("evidence_gate", "store", "SELECT fact_id, source_type, source_type = 'chart' OR coalesce(CASE WHEN json_valid(data_json) THEN json_extract_string(data_json, '$.evidence_quote') END, '') <> '' AS passes FROM store")
 def evidence_gate(s, d):
-    return _store(s, d, "source_type", "statement").select("fact_id", "source_type", extraction.passes_evidence_gate(F.col("source_type"), F.coalesce("statement", F.lit(""))).alias("passes"))
+    quote = F.coalesce(F.get_json_object(F.when(F.try_parse_json("data_json").isNotNull(), F.col("data_json")), "$.evidence_quote"), F.lit(""))
+    gate = F.when(F.col("source_type").isNull() & (quote == ""), F.lit(None).cast("boolean")).otherwise(extraction.passes_evidence_gate(F.col("source_type"), quote))
+    return _store(s, d, "source_type", "data_json").select("fact_id", "source_type", gate.alias("passes"))
+
+
+@query("fact_occurrences", "store ch", "WITH p AS (SELECT s.document_id, lower(content_hash) AS hash, c.page_number, c.bbox, min(struct_pack(q := ingest_seq, k := chunk_id)) AS at_ FROM store s JOIN ch c ON c.chunk_id = s.source_chunk_id GROUP BY 1, 2, 3, 4) SELECT document_id, hash, page_number, bbox.x0 AS x0, bbox.y0 AS y0, (row_number() OVER (PARTITION BY document_id, hash ORDER BY at_) - 1)::INT AS nth FROM p")
+def fact_occurrences(s, d):
+    return extraction.occurrences(_store(s, d, "document_id", "content_hash", "source_chunk_id"), _ch(s, d)).select("document_id", "hash", "page_number", F.col("bbox.x0").alias("x0"), F.col("bbox.y0").alias("y0"), "nth")
 
 
 @query("content_hash", "scoped", r"SELECT fact_id, sha256(coalesce(canonical_entity, '') || '|' || coalesce(raw_attribute, '') || '|' || coalesce(lower(regexp_replace(value, '^\s+|\s+$', '', 'g')), '') || '|' || scope) AS hash FROM scoped")
@@ -459,13 +471,17 @@ def attribute_snap(s, d):
     return matching.snap(_names(s, d, "raw_attribute").select("name"), table(s, d, "canonical_attributes").select("seq", "name"))
 
 
+@query("attribute_cascade")
+def attribute_cascade(s, d):
+    emb = interfaces.HashEmbedder()
+    return matching.snap_cascade(interfaces.embed(_names(s, d, "raw_attribute").select("name"), emb), interfaces.embed(table(s, d, "canonical_attributes").select("seq", "name"), emb))
+
+
 @query("canonicalize_facts")
 def canonicalize_facts(s, d):
-    f = _store(s, d, "canonical_entity", "raw_attribute", "value", "unit")
-    snapped = attribute_snap(s, d).select(F.col("name").alias("raw_attribute"), "snapped")
-    resolved = entity_resolve(s, d).select(F.col("name").alias("canonical_entity"), "resolved")
-    n = units.normalized(F.col("value"), F.col("unit"))
-    return f.join(snapped, "raw_attribute", "left").join(resolved, "canonical_entity", "left").withColumn("n", n).select("fact_id", F.coalesce("resolved", "canonical_entity").alias("entity"), F.coalesce("snapped", "raw_attribute").alias("attribute"), F.col("raw_attribute").alias("original_attribute"), "n.normalized_value", "n.normalized_unit", "n.parse_ok")
+    f = _scoped(s, d, "canonical_entity", "raw_attribute", "value", "unit")
+    out = pipeline.canonicalise_facts(f, table(s, d, "canonical_entities"), table(s, d, "canonical_attributes"), interfaces.HashEmbedder())
+    return out.select("fact_id", "entity", "attribute", "original_attribute", "normalized_value", "normalized_unit", "parse_ok", "content_hash")
 
 
 @query("registry_contents", "", "SELECT seq, name, (SELECT count(*) FROM canonical_attributes) AS n_entries FROM canonical_attributes")
@@ -565,7 +581,7 @@ _NORMALISED = f"""SELECT *, CASE WHEN bps IS NOT NULL THEN bps WHEN pct IS NOT N
 
 @query("normalize_unit", "", f"WITH {_V} SELECT value, unit, normalized_value, normalized_unit, currency, currency_conflict, period, vintage, parse_ok FROM ({_NORMALISED.replace('@FROM@', 'v')})")
 def normalize_unit(s, d):
-    return _values(s, d).withColumn("n", units.normalized(F.col("value"), F.col("unit"))).select("value", "unit", "n.*")
+    return units.with_normalized(_values(s, d))
 
 
 # --- candidates ------------------------------------------------------------------------------------------------------
@@ -654,7 +670,7 @@ def fact_source_chunk(s, d):
 
 
 def _rule_pairs(s, d, block: bool = False) -> DataFrame:
-    return compare.judge_pairs(_edges(s, d).select("fact_id_a", "fact_id_b"), _scoped(s, d, "value", "unit"), block)
+    return compare.judge_pairs(_edges(s, d).select("fact_id_a", "fact_id_b"), _scoped(s, d, "value", "unit"), block).drop("justification")
 
 
 _TOL = "CASE WHEN {a} = 0 AND {b} = 0 THEN true WHEN {a} = 0 OR {b} = 0 THEN false ELSE abs({a} - {b}) / greatest(abs({a}), abs({b})) <= 0.01 END"
@@ -681,12 +697,15 @@ def equivalent_scopes(s, d):
     return e.select("fact_id_a", "fact_id_b", compare.same_marks(F.col("ma"), F.col("mb")).alias("same"))
 
 
-@query("deterministic_reconcile", "edges scoped", f"WITH {_SIDE}, {_RULE} SELECT * FROM rule")
+@query("deterministic_reconcile", "edges scoped", f"WITH {_SIDE}, {_RULE} SELECT *, CASE WHEN rule_verdict IS NOT NULL THEN 1.0::DOUBLE END AS confidence FROM rule")
 def deterministic_reconcile(s, d):
     return _rule_pairs(s, d)
 
 
-@query("deterministic_reconcile_strict")
+_STRICT = _RULE.replace("len(a.sv) > 0", "coalesce(a.cur = b.cur, true) AND len(a.sv) > 0")
+
+
+@query("deterministic_reconcile_strict", "edges scoped", f"WITH {_SIDE}, {_STRICT} SELECT *, CASE WHEN rule_verdict IS NOT NULL THEN 1.0::DOUBLE END AS confidence FROM rule")
 def deterministic_reconcile_strict(s, d):
     return _rule_pairs(s, d, True)
 
@@ -703,9 +722,42 @@ def judge_response_parse(s, d):
     return e.filter("j is not null").select("fact_id_a", "fact_id_b", "j.relationship_type", "j.confidence")
 
 
-@query("judged_pairs")
+_FIELD_JUDGE = "CASE WHEN x.canonical_entity IS DISTINCT FROM y.canonical_entity OR x.raw_attribute IS DISTINCT FROM y.raw_attribute THEN 'unrelated' WHEN x.value IS NOT DISTINCT FROM y.value THEN 'ambiguous' ELSE 'contradicts' END"
+_VERDICTS = f"SELECT r.fact_id_a, r.fact_id_b, coalesce(rule_verdict, {_FIELD_JUDGE}) AS relationship_type, CASE WHEN rule_verdict IS NULL THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence, CASE WHEN rule_verdict IS NULL THEN 'judge' ELSE 'rule' END AS source FROM rule r JOIN store x ON x.fact_id = r.fact_id_a JOIN store y ON y.fact_id = r.fact_id_b"
+_JUDGED = ("statement", "canonical_entity", "raw_attribute", "value", "unit")
+
+
+@query("judged_pairs", "edges scoped", f"WITH {_SIDE}, {_RULE} {_VERDICTS}")
 def judged_pairs(s, d):
-    return interfaces.judged(_rule_pairs(s, d), interfaces.no_judge)
+    f = _scoped(s, d, *_JUDGED)
+    return interfaces.judged(compare.judge_pairs(_edges(s, d).select("fact_id_a", "fact_id_b"), f), f, interfaces.field_judge).drop("justification")
+
+
+_NEAR = "fv AS (SELECT s.fact_id, s.document_id, s.ingest_seq, s.batch_no, list_concat(e.embedding, a.embedding)::DOUBLE[] AS v FROM store s JOIN canonical_entities e ON e.name = s.canonical_entity JOIN canonical_attributes a ON a.name = s.raw_attribute), nn AS (SELECT q.fact_id, b.fact_id AS other FROM fv q JOIN fv b ON b.ingest_seq < q.ingest_seq AND b.document_id IS DISTINCT FROM q.document_id WHERE q.batch_no = (SELECT max(batch_no) FROM store) QUALIFY row_number() OVER (PARTITION BY q.fact_id ORDER BY round(list_cosine_similarity(q.v, b.v), 9) DESC, b.ingest_seq) <= 8), cand AS (SELECT DISTINCT nn.fact_id AS fact_id_a, r.representative_id AS fact_id_b FROM nn JOIN reps r ON r.fact_id = nn.other WHERE representative_id <> nn.fact_id)"
+
+
+@query("compare_new_facts", "edges scoped", f"WITH RECURSIVE {_REPS}, {_NEAR}, {_SIDE}, {_RULE.replace('FROM edges e', 'FROM cand e')} {_VERDICTS}")
+def compare_new_facts(s, d):
+    """The last batch against all that came before: vectors of the listed entity and attribute, groups of the stored edges, rule, judge."""
+    lists = [table(s, d, n).select(F.col("name").alias(c), F.col("embedding").alias(c[:1])) for n, c in (("canonical_entities", "canonical_entity"), ("canonical_attributes", "raw_attribute"))]
+    f = _scoped(s, d, "document_id", "batch_no", *_JUDGED)
+    for x in lists:
+        f = f.join(F.broadcast(x), x.columns[0], "left")
+    f = f.withColumn("embedding", F.when(F.col("c").isNotNull() & F.col("r").isNotNull(), F.concat("c", "r")))
+    last = f.agg(F.max("batch_no")).first()[0]
+    new = F.coalesce(F.col("batch_no") == last, F.lit(False))
+    return pipeline.compare_new_facts(f.filter(new), f.filter(~new), _edges(s, d), interfaces.field_judge).drop("justification")
+
+
+@query("rejudge_reconciled", "edges scoped", f"WITH {_SIDE}, {_RULE}, again AS ({_VERDICTS}), pick AS (SELECT a.* FROM again a JOIN edges e ON e.fact_id_a = a.fact_id_a AND e.fact_id_b = a.fact_id_b WHERE e.relationship_type = 'reconciled'), two AS (SELECT fact_id_a, fact_id_b, relationship_type FROM pick UNION ALL SELECT fact_id_b, fact_id_a, relationship_type FROM pick), best AS (SELECT fact_id_a, fact_id_b, max(relationship_type) AS relationship_type FROM two GROUP BY 1, 2) SELECT coalesce(b.fact_id_a, e.fact_id_a) AS fact_id_a, coalesce(b.fact_id_b, e.fact_id_b) AS fact_id_b, CASE WHEN b.fact_id_a IS NOT NULL THEN b.relationship_type ELSE e.relationship_type END AS relationship_type FROM edges e FULL JOIN best b ON b.fact_id_a = e.fact_id_a AND b.fact_id_b = e.fact_id_b")
+def rejudge_reconciled(s, d):
+    f, e = _scoped(s, d, *_JUDGED), _edges(s, d)
+    return ingest.rejudge(e, e.filter("relationship_type = 'reconciled'"), f, interfaces.field_judge, 4e9).select("fact_id_a", "fact_id_b", "relationship_type")
+
+
+@query("justifications", "edges", "SELECT relationship_type, justification FROM edges")
+def justifications(s, d):
+    return _edges(s, d).select("relationship_type", "justification")
 
 
 @query("repair_relationships", "edges scoped", f"WITH {_SIDE}, {_RULE} SELECT e.fact_id_a, e.fact_id_b, CASE WHEN e.relationship_type = 'reconciled' AND rule_verdict = 'corroborates' THEN rule_verdict ELSE e.relationship_type END AS relationship_type FROM edges e LEFT JOIN rule r ON r.fact_id_a = e.fact_id_a AND r.fact_id_b = e.fact_id_b")
@@ -725,10 +777,10 @@ def verdict_source(s, d):
     return _edges(s, d).groupBy(source.alias("source"), "relationship_type").agg(F.count("*").alias("n"))
 
 
-@query("stale_empty_scope", "edges scoped", f"SELECT e.fact_id_a, e.fact_id_b FROM edges e JOIN scoped a ON a.fact_id = e.fact_id_a JOIN scoped b ON b.fact_id = e.fact_id_b WHERE e.relationship_type = 'reconciled' AND starts_with(e.justification, '{_RULE_TEXT[0]}') AND (a.scope = '{{}}' OR b.scope = '{{}}')")
+@query("stale_empty_scope", "edges scoped", f"SELECT e.fact_id_a, e.fact_id_b FROM edges e JOIN scoped a ON a.fact_id = e.fact_id_a JOIN scoped b ON b.fact_id = e.fact_id_b WHERE e.relationship_type = 'reconciled' AND starts_with(e.justification, 'The periods differ') AND (a.scope = '{{}}' OR b.scope = '{{}}')")
 def stale_empty_scope(s, d):
     f = _scoped(s, d).select("fact_id", "scope")
-    e = _edges(s, d).filter(F.col("justification").startswith(_RULE_TEXT[0]) & (F.col("relationship_type") == "reconciled")).select("fact_id_a", "fact_id_b")
+    e = _edges(s, d).filter(F.col("justification").startswith("The periods differ") & (F.col("relationship_type") == "reconciled")).select("fact_id_a", "fact_id_b")  # the rule's text for such verdicts in these tables
     return e.join(f.toDF("fact_id_a", "sa"), "fact_id_a").join(f.toDF("fact_id_b", "sb"), "fact_id_b").filter("sa = '{}' or sb = '{}'").select("fact_id_a", "fact_id_b")
 
 

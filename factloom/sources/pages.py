@@ -14,7 +14,7 @@ BLOCKS = "document_id string, page_number int, block_no int, block_type int, x0
 
 
 def decode(spark: SparkSession, path: str, decoder: Callable[[str, bytes], Iterable[tuple]], schema: str = BLOCKS, glob: str = "*.pdf") -> DataFrame:
-    """Blocks of all files below ``path``; ``decoder(name, bytes)`` yields rows of ``schema``. A file that cannot be decoded gives no rows."""
+    """Blocks of all files below ``path``; ``decoder(name, bytes)`` yields rows of ``schema``. A file that cannot be decoded gives no rows; :func:`undecodable` lists it."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "content")
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
@@ -30,6 +30,23 @@ def decode(spark: SparkSession, path: str, decoder: Callable[[str, bytes], Itera
     return files.mapInPandas(run, schema)
 
 
+def undecodable(spark: SparkSession, path: str, decoder: Callable[[str, bytes], Iterable[tuple]], glob: str = "*.pdf") -> DataFrame:
+    """``path, message`` of the files on which the decoder fails."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            bad = []
+            for name, content in zip(b["path"], b["content"], strict=True):
+                try:
+                    list(decoder(name, content))
+                except Exception as e:  # noqa: BLE001
+                    bad.append((name, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(bad, columns=["path", "message"])
+
+    return files.mapInPandas(run, "path string, message string")
+
+
 def distinct_chunks(chunks: DataFrame) -> DataFrame:
     """One row per chunk; repeated chunks are equal."""
     return chunks.filter("chunk_id is not null").dropDuplicates(["chunk_id"])

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
-import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -13,26 +13,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def canonical_list(spark: SparkSession, path: str, names_key: str = "names") -> DataFrame:
-    """A registry of canonical names from a JSON file: ``seq bigint, name string``.
+    """A registry of canonical names from a JSON file on any file system that Spark reads: ``seq bigint, name string``.
 
     A missing or unreadable file gives an empty registry, as a first run has none. The file may hold a list
     of names or an object with the list under ``names_key``; registries are small, fixed lists by nature.
     """
     names: list = []
     try:
-        with open(path, encoding="utf-8") as f:
-            held = json.load(f)
+        held = json.loads(spark.read.option("wholetext", "true").text(path).first()[0])
         names = held if isinstance(held, list) else held.get(names_key, [])
-    except (OSError, ValueError, AttributeError):
+    except (AnalysisException, ValueError, AttributeError, TypeError):
         names = []
     rows = [(i, str(n)) for i, n in enumerate(x for x in names if x is not None)]
     return spark.createDataFrame(rows, "seq bigint, name string")
 
 
 def save_canonical_list(registry: DataFrame, path: str) -> None:
-    """Writes the registry in order. The list is bounded by the registry, not by the data."""
+    """Writes the registry in order, beside the old file first. The list is bounded by the registry, not by the data."""
     names = [r["name"] for r in registry.select("seq", "name").orderBy("seq").toLocalIterator()]
-    part = f"{path}.part"
-    with open(part, "w", encoding="utf-8") as f:
-        json.dump({"names": names}, f, ensure_ascii=False)
-    os.replace(part, path)
+    sc = registry.sparkSession.sparkContext
+    target, part = (sc._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.part"))
+    fs = sc._jvm.org.apache.hadoop.fs.FileSystem.newInstance(target.toUri(), sc._jsc.hadoopConfiguration())
+    fs.setWriteChecksum(False)  # the file may be edited by hand
+    out = fs.create(part, True)
+    out.write(bytearray(json.dumps({"names": names}, ensure_ascii=False).encode()))
+    out.close()
+    fs.delete(target, False)
+    fs.rename(part, target)
+    fs.close()

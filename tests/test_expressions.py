@@ -19,7 +19,7 @@ UNITS = [
 
 def test_units(spark):
     df = spark.createDataFrame([(i, v, u) for i, (v, u, *_) in enumerate(UNITS)], "i int, value string, unit string")
-    got = {r.i: r.n for r in df.select("i", units.normalized(F.col("value"), F.col("unit")).alias("n")).collect()}
+    got = {r.i: r for r in units.with_normalized(df).collect()}
     for i, (v, u, number, unit, currency, conflict, ok) in enumerate(UNITS):
         n = got[i]
         assert (n.normalized_unit, n.currency, n.currency_conflict, n.parse_ok) == (unit, currency, conflict, ok), (v, u, n)

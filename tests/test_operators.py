@@ -128,13 +128,22 @@ def test_context_and_tables(spark):
     got = {r.chunk_id: r.context_window for r in extraction.context_window(c).collect()}
     assert got == {"a": ">>> one <<<", "b": "one\n\nthree", "c": ">>> three <<<"}
     assert c.filter("chunk_id = 'b'").select(extraction.table_text(F.col("table_data")).alias("t")).first().t == "x | \n | y"
-    assert extraction.extract(extraction.context_window(c.withColumn("text", F.lit("x = y (1)"))), lambda rows: ["{}"] * len(rows)).count() == 0
+    assert c.filter("chunk_id = 'b'").select(extraction.table_text(F.col("table_data"), F.lit("T")).alias("t")).first().t == "Caption: T\n\nx | \n | y"
 
 
 def test_injected_judge(spark):
-    pairs = spark.createDataFrame([("a", "b", "corroborates"), ("a", "c", None), ("a", "d", None)], "fact_id_a string, fact_id_b string, rule_verdict string")
-    got = {(r.fact_id_b, r.relationship_type) for r in interfaces.judged(pairs, interfaces.table_judge({("a", "c"): "ambiguous"})).collect()}
-    assert got == {("b", "corroborates"), ("c", "ambiguous")}
+    """The judge sees six fields of both facts; a pair on which it fails costs only itself."""
+    pairs = spark.createDataFrame([("a", "b", "corroborates", 1.0, "same"), ("a", "c", None, None, None), ("a", "d", None, None, None), ("a", "e", None, None, None)], "fact_id_a string, fact_id_b string, rule_verdict string, confidence double, justification string")
+    facts = spark.createDataFrame([(k, "X", "Revenue", f"s{k}", k, None, "{}") for k in "abcde"], "fact_id string, canonical_entity string, raw_attribute string, statement string, value string, unit string, scope string")
+    got = {(r.fact_id_b, r.relationship_type, r.source) for r in interfaces.judged(pairs, facts, interfaces.table_judge({("a", "c"): "ambiguous"})).collect()}
+    assert got == {("b", "corroborates", "rule"), ("c", "ambiguous", "judge")}
+
+    def fails(rows):
+        if any(r["b_value"] == "d" for r in rows):
+            raise RuntimeError("no answer")
+        return interfaces.field_judge(rows)
+
+    assert {(r.fact_id_b, r.relationship_type) for r in interfaces.judged(pairs, facts, fails).collect()} == {("b", "corroborates"), ("c", "contradicts"), ("e", "contradicts")}
 
 
 def test_registry_file(spark, tmp_path):
@@ -148,9 +157,11 @@ def test_registry_file(spark, tmp_path):
 
 def test_decoder(spark, tmp_path):
     (tmp_path / "x.pdf").write_bytes(b"one two")
-    (tmp_path / "bad.pdf").write_bytes(b"")
+    (tmp_path / "bad.pdf").write_bytes(b" ")
     got = pages.decode(spark, str(tmp_path), lambda name, b: [("x", 1, 0, 0, 0.0, 0.0, 1.0, 1.0, b.decode().split()[0], 612.0, 792.0)]).collect()
     assert [r.text for r in got] == ["one"]
+    bad = pages.undecodable(spark, str(tmp_path), lambda name, b: [b.decode().split()[0]]).collect()
+    assert len(bad) == 1 and bad[0].path.endswith("bad.pdf") and "IndexError" in bad[0].message
 
 
 def test_stream_is_idempotent(spark, tmp_path):
