@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,10 +27,12 @@ from pyspark.sql import DataFrame
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.json"
-#: Words kept by a worker between batches; beyond it the store starts anew, which costs time and changes nothing.
-KEPT_WORDS = 400_000
-#: Characters handled at once in a worker.
-SLICE = 8_000_000
+#: Words, and their bytes, kept by a worker between batches; beyond either the store starts anew, which costs time and changes nothing.
+KEPT_WORDS, KEPT_BYTES = 400_000, 32_000_000
+#: Characters handled at once in a worker: some 30 bytes of memory each.
+SLICE = 4_000_000
+#: Bytes of words that a recursive query contracts at once, without the first piece, which may be longer: some 200 bytes of memory each.
+AT_ONCE = 500_000
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 #: Endings of the published pattern that follow an apostrophe.
@@ -151,7 +155,9 @@ class Encoder:
         left, right = (np.array([vocab[p[k]] for p in pairs], np.int64) for k in (0, 1))
         merges = pa.table({"pair": left * 1048576 + right, "rank": np.arange(len(pairs), dtype=np.int32), "merged": np.array([vocab[a + b] for a, b in pairs], np.int32)})  # noqa: F841
         self.db = duckdb.connect()
-        self.db.execute("SET threads = 1; SET memory_limit = '400MB'; SET temp_directory = ''; SET preserve_insertion_order = false")
+        # a piece of millions of bytes goes through the folder, which is made only then
+        spill = os.path.join(tempfile.gettempdir(), f"factloom-{uuid.uuid4().hex}")
+        self.db.execute(f"SET threads = 1; SET memory_limit = '400MB'; SET temp_directory = '{spill}'; SET preserve_insertion_order = false")
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         back = {c: b for b, c in enumerate(_byte_letters())}
         tokens = [bytes(map(back.__getitem__, t)) for t in vocab if all(c in back for c in t)]
@@ -180,9 +186,13 @@ class Encoder:
         cut[o] = True
         piece = np.flatnonzero(cut)
         n = np.diff(piece)
-        held = [t for t in (self._run(CONTRACT, tok, piece, np.flatnonzero(n <= LONG)), self._run(CONTRACT_LONG.format(reach=self._reach(data, piece[:-1][n > LONG], piece[1:][n > LONG])), tok, piece, np.flatnonzero(n > LONG))) if t is not None]
+        short, long = np.flatnonzero(n <= LONG), np.flatnonzero(n > LONG)
+        held = [self._run(CONTRACT, tok, piece, some) for some in _groups(short, n)]
+        if len(long):
+            sql = CONTRACT_LONG.format(reach=self._reach(data, piece[long], piece[long + 1]))
+            held += [self._run(sql, tok, piece, some) for some in _groups(long, n)]
         got = pa.concat_tables(held)
-        got = (got if len(held) == 1 else got.sort_by("word")).combine_chunks()
+        got = (got.sort_by("word") if len(short) and len(long) else got).combine_chunks()
         ids = got.column("ids").combine_chunks()
         if isinstance(ids, pa.ChunkedArray):
             ids = pa.concat_arrays(ids.chunks)
@@ -196,10 +206,8 @@ class Encoder:
             there |= set(data[lo:hi].tobytes())
         return next((len(t) for t in self.by_length if there.issuperset(t)), 1)
 
-    def _run(self, sql: str, tok: np.ndarray, bounds: np.ndarray, some: np.ndarray) -> pa.Table | None:
+    def _run(self, sql: str, tok: np.ndarray, bounds: np.ndarray, some: np.ndarray) -> pa.Table:
         """The ids of the pieces ``some`` of ``tok``."""
-        if not len(some):
-            return None
         n = np.diff(bounds)[some]
         nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         start = pa.table({"word": np.repeat(some.astype(np.int32), n), "pos": nth.astype(np.int32), "tok": tok[np.repeat(bounds[some], n) + nth]})  # noqa: F841
@@ -219,7 +227,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array, only_sizes: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """Number of ids of each text, and all ids one after the other."""
-        if len(self.words) > KEPT_WORDS:
+        if len(self.words) > KEPT_WORDS or self.words.nbytes + self.ids.nbytes > KEPT_BYTES:
             self.clear()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         _, off, data = texts.buffers()
@@ -252,6 +260,11 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(others)) for b in range(256)]
 
 
+def _groups(some: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """``some`` in order, cut so that the sizes ``n`` of a group add up to AT_ONCE at most without its first."""
+    return np.split(some, np.flatnonzero(np.diff((np.cumsum(n[some]) - 1) // AT_ONCE)) + 1) if len(some) else []
+
+
 @lru_cache(maxsize=2)
 def encoder(folder: str) -> Encoder:
     return Encoder(folder)

@@ -49,6 +49,24 @@ def test_long_words():
     assert time.time() - began < 20
 
 
+def test_many_new_words_at_once(monkeypatch):
+    """Texts full of words not met before have the library's ids in little memory: the query takes AT_ONCE bytes at a time."""
+    import random
+
+    lib = tokenizers.Tokenizer.from_file(f"{tokens.TOKENIZERS}/{tokens.VOCABULARY}")
+    r = random.Random(5)
+    text = " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.choice((3, 9, 14, 90)))) for _ in range(50_000))
+    enc = tokens.Encoder(tokens.TOKENIZERS)
+    enc.db.execute("SET memory_limit = '120MB'; SET temp_directory = ''")
+    want = lib.encode(text, add_special_tokens=False).ids
+    assert enc.encode(pa.array([text]))[1].tolist() == want
+    monkeypatch.setattr(tokens, "KEPT_BYTES", 1)
+    assert enc.encode(pa.array([None, text[:1000]]))[1].tolist() == lib.encode(text[:1000], add_special_tokens=False).ids
+    n = np.array([5, 700_000, 1, 499_999, 2, 3])
+    held = tokens._groups(np.arange(6), n)
+    assert np.concatenate(held).tolist() == list(range(6)) and all(n[g][1:].sum() <= tokens.AT_ONCE for g in held) and not tokens._groups(np.arange(0), n)
+
+
 def _check(plan, counts):
     """Every item once, no two in one place, no container too full; the share of the containers that is filled."""
     capacity = len(counts) - 1
