@@ -9,8 +9,8 @@ vetoed before: sister companies and look-alikes have high cosines. All others ar
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +23,10 @@ from factloom.session import materialize
 MARGIN = 0.05
 #: A candidate is vetoed by another one that is nearer in its alignment by so much.
 NEARER = 0.5
-#: Entries whose single misspellings the threshold is fitted to, and the share of their lowest cosine at which it lies (a name may have several).
-FIT_ENTRIES, SLACK = 300, 0.5
+#: The share of the lowest cosine of single misspellings of the list's entries at which the threshold lies (a name may have several).
+SLACK = 0.5
+#: A list of more entries is misspelt by tasks, not by the driver.
+DRIVER_ENTRIES = 1_000
 #: Entries of a reference list at most; every task holds the list.
 LIST_ROWS = 50_000
 #: The index is repeated so often, and the values salted, where it is too large to be broadcast and a gram may be hot.
@@ -53,6 +55,7 @@ class Entries:
 
     def __init__(self, rows: list[tuple[int, str]], short_names: bool):
         self.words = {seq: names.core_of(names.words_of(name)) for seq, name in rows}
+        self.own_acronyms = {seq: names.acronyms_of(name) for seq, name in rows}
         self.acronyms: dict[str, set[int]] = defaultdict(set)
         self.firsts: dict[str, set[int]] = defaultdict(set)
         for seq, name in rows:
@@ -62,41 +65,48 @@ class Entries:
                 self.firsts[self.words[seq][0][0]].add(seq)
         self.short_names = short_names
         df: Counter = Counter()
-        held = {seq: grams(self.words[seq][0], names.acronyms_of(name)) for seq, name in rows}
-        for g in held.values():
-            df.update(g.keys())
+        for seq in self.words:
+            df.update(self._grams(seq).keys())
         n = max(1, len(rows))
         self.idf = {g: math.log(1 + n / c) for g, c in df.items()}
-        self.postings = [(seq, g, c * self.idf[g] / math.sqrt(sum((k * self.idf[x]) ** 2 for x, k in held[seq].items()))) for seq in held for g, c in held[seq].items()]
+        self.top = max(self.idf.values(), default=1.0)
+        self.postings = [(seq, g, w) for seq in self.words for g, w in self.weights(seq).items()]
+
+    def _grams(self, seq: int) -> Counter:
+        return grams(self.words[seq][0], self.own_acronyms[seq])
+
+    def weights(self, seq: int) -> dict[str, float]:
+        """The weight of each gram of an entry; their squares add up to 1."""
+        held = self._grams(seq)
+        norm = math.sqrt(sum((c * self.idf[g]) ** 2 for g, c in held.items()))
+        return {g: c * self.idf[g] / norm for g, c in held.items()}
 
     def weighted(self, raw: str) -> dict[str, float]:
         words = names.readings(raw)[0]
         a = names.is_acronym(raw)
         g = grams(words, {a} if a else set())
-        top = max(self.idf.values(), default=1.0)
-        w = {x: c * self.idf.get(x, top) for x, c in g.items()}
+        w = {x: c * self.idf.get(x, self.top) for x, c in g.items()}
         norm = math.sqrt(sum(v * v for v in w.values())) or 1.0
         return {x: v / norm for x, v in w.items() if x in self.idf}
 
     def fit_threshold(self) -> float:
-        """SLACK times the lowest cosine of an entry with its own misspellings and shortenings that the alignment accepts."""
-        weights: dict[int, dict[str, float]] = defaultdict(dict)
-        for seq, g, w in self.postings:
-            weights[seq][g] = w
-        some = sorted(self.words, key=lambda seq: zlib.crc32(str(seq).encode()))[:FIT_ENTRIES]
+        """SLACK times the lowest cosine of any entry with its own misspellings and shortenings that the alignment accepts."""
+        return SLACK * self.lowest_cosine(self.words)
+
+    def lowest_cosine(self, seqs: Iterable[int]) -> float:
         lowest = 1.0
-        for seq in some:
-            words = self.words[seq][0]
+        for seq in seqs:
+            words, weights = self.words[seq][0], self.weights(seq)
             for k, w in enumerate(words):
                 mid = len(w) // 2
                 for typed in (w[:mid] + w[mid + 1 :], w[: mid - 1] + w[mid : mid + 1] + w[mid - 1 : mid] + w[mid + 1 :] if mid else w, w[:4] + "."):
                     value = [*words[:k], typed, *words[k + 1 :]]
                     if names.alignment(value, words) < 9:
-                        lowest = min(lowest, sum(v * weights[seq].get(g, 0.0) for g, v in self.weighted(" ".join(value)).items()))
+                        lowest = min(lowest, sum(v * weights.get(g, 0.0) for g, v in self.weighted(" ".join(value)).items()))
             short = [w[:4] + "." if len(w) > 4 else w for w in words]
             if names.alignment(short, words) < 9:
-                lowest = min(lowest, sum(v * weights[seq].get(g, 0.0) for g, v in self.weighted(" ".join(short)).items()))
-        return SLACK * lowest
+                lowest = min(lowest, sum(v * weights.get(g, 0.0) for g, v in self.weighted(" ".join(short)).items()))
+        return lowest
 
     def choose(self, raw: str, candidates: list[tuple[int, float]], margin: float) -> int:
         """The entry that the value names, or -1. ``candidates``: entries and their cosines."""
@@ -125,6 +135,19 @@ class Entries:
         return -1
 
 
+def fitted_threshold(spark: SparkSession, held: Entries) -> float:
+    """``held.fit_threshold()`` over all entries of the list; the entries of a long one are spread over tasks."""
+    seqs = list(held.words)
+    if len(seqs) <= DRIVER_ENTRIES:
+        return held.fit_threshold()
+
+    def lowest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"lowest": [held.lowest_cosine([seqs[i] for i in b["id"]])]})
+
+    return SLACK * spark.range(0, len(seqs), 1, 4 * spark.sparkContext.defaultParallelism).mapInPandas(lowest, "lowest double").agg(F.min("lowest")).first()[0]
+
+
 def map_values(values: DataFrame, entries: DataFrame, short_names: bool, threshold: float | None = None, margin: float = MARGIN) -> DataFrame:
     """``raw, seq``: for distinct values ``raw`` the entry of ``entries(seq, name)`` they name, else -1.
 
@@ -137,8 +160,9 @@ def map_values(values: DataFrame, entries: DataFrame, short_names: bool, thresho
     rows = [(int(r["seq"]), r["name"]) for r in entries.select("seq", "name").filter("name is not null").collect()]  # the list itself: LIST_ROWS at most
     held = Entries(rows, short_names)
     index = spark.createDataFrame(held.postings or [(-1, "", 0.0)], "seq bigint, gram string, weight double")
-    least = held.fit_threshold() if threshold is None else threshold
     small = len(held.postings) <= BROADCAST_ROWS
+    held.postings = []  # the index has them, tasks need not
+    least = fitted_threshold(spark, held) if threshold is None else threshold
     index = F.broadcast(index) if small else index.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     keys = ["gram"] if small else ["gram", "salt"]
 

@@ -1,3 +1,6 @@
+import random
+import zlib
+
 import pytest
 
 from factloom.functions import names
@@ -28,6 +31,29 @@ def test_threshold_is_fitted_to_the_list():
     assert 0.1 < t < 0.8 and canonical_names.Entries([], True).fit_threshold() == canonical_names.SLACK
 
 
+def long_list(odd: str, n: int = 600) -> list[tuple[int, str]]:
+    """A list of names that misspellings change little, and among them one of a single word."""
+    r = random.Random(4)
+    rows = [(i, " ".join("".join(r.choices("abcdefghijklmnoprstuvwyz", k=4)) for _ in range(10))) for i in range(n)]
+    at = max(range(n), key=lambda i: zlib.crc32(str(i).encode()))
+    return [*rows[:at], (at, odd), *rows[at + 1 :]]
+
+
+def test_threshold_is_fitted_to_every_entry(spark, monkeypatch):
+    rows = long_list("Beryan")
+    at = next(i for i, name in rows if name == "Beryan")
+    e = canonical_names.Entries(rows, False)
+    weights = {g: w for seq, g, w in e.postings if seq == at}
+    t = e.fit_threshold()
+    assert t <= canonical_names.SLACK * sum(v * weights.get(g, 0.0) for g, v in e.weighted("Beyran").items()) < 0.13
+    values = spark.createDataFrame([("Beyran",), ("Bryan",), (rows[0][1].upper(),), ("Xyxyxyx",)], "raw string")
+    for most in (1_000, 0):  # fitted by the driver, by tasks
+        monkeypatch.setattr(canonical_names, "DRIVER_ENTRIES", most)
+        assert canonical_names.fitted_threshold(spark, e) == t
+        got = {r.raw: r.seq for r in canonical_names.map_values(values, spark.createDataFrame(rows, "seq bigint, name string"), False).collect()}
+        assert got == {"Beyran": at, "Bryan": at, rows[0][1].upper(): rows[0][0], "Xyxyxyx": -1}
+
+
 def test_edits():
     assert [names.edits(a, b, 3) for a, b in (("abc", "acb"), ("abc", "abc"), ("abc", "xyz"), ("abcd", "abd"), ("", "abcdefg"))] == [1, 0, 3, 1, 4]
 
