@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import pytest
 
@@ -27,6 +28,18 @@ ROWS = [
 WANT = {("f001", "f000"), ("f002", "f000"), ("f008", "f007"), ("f009", "f007"), ("f017", "f000")}
 
 
+def test_names_of_a_long_list(spark):
+    """A misspelt name counts as its entry wherever that stands in the list."""
+    r = random.Random(4)
+    rows = [(i, " ".join("".join(r.choices("abcdefghijklmnoprstuvwyz", k=4)) for _ in range(10))) for i in range(600)]
+    at = max(range(600), key=lambda i: zlib.crc32(str(i).encode()))
+    rows[at] = (at, "Beryan")
+    _, attributes, catalog = lists(spark)
+    facts = [fact(0, entity="Beryan"), fact(1, entity="Beyran"), fact(2, entity=rows[5][1]), fact(3, entity="Xyxyxyx")]
+    normal = history.normalise(spark.createDataFrame(facts, SCHEMA), spark.createDataFrame(rows, "seq bigint, name string"), attributes, catalog)
+    assert {x.fact_id: x.entity_key for x in normal.collect()} == {"f000": f"#{at}", "f001": f"#{at}", "f002": "#5", "f003": "xyxyxyx"}
+
+
 @pytest.mark.parametrize("steps", [1, 3])
 def test_repeats(spark, steps):
     rows = [*ROWS, (*ROWS[3][:9], 3, 900, "x", 1), (*ROWS[1][:9], 3, 901, "x", 1)]
