@@ -4,7 +4,7 @@ Incremental record linkage. Of every accepted fact the blocking keys are kept in
 report: the report with the content hash, the report with the normalised statement (entity, attribute, period, segment, value), and
 two looser keys that leave out the entity or the attribute. A new batch probes the buckets of its reports; the history's texts are
 never read again. Pairs that agree on a looser key are scored field by field with learned weights (log-odds of agreement
-in matches and non-matches). A repeat joins the cluster of the accepted fact; only clusters that a batch links are
+in matches and non-matches, counted over all pairs of facts of a report). A repeat joins the cluster of the accepted fact; only clusters that a batch links are
 merged, through a table of representatives. A manifest says which batches are whole: a history is opened again by its path, and a batch
 that was cut off leaves nothing behind that counts.
 
@@ -19,7 +19,9 @@ import json
 import math
 from collections.abc import Iterator
 from decimal import Decimal
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,16 +30,14 @@ from factloom.functions import amounts, names, scopes
 from factloom.llm import canonical_names
 from factloom.llm.components import star_components
 from factloom.operators.quantities import read_fact, record_text
-from factloom.session import hash_sample, materialize, work_dir, write_work
+from factloom.session import materialize, work_dir, write_work
 
 #: Buckets of a new history. A batch reads those that its reports fall into, so a large history takes more of them than a batch has reports.
 BUCKETS = 16
-#: Matching pairs from which the learned weights are kept for good; a history that has seen fewer learns again with the next batch.
-ENOUGH_PAIRS = 50
 #: Small sides of joins on keys that may be hot are repeated so often, and the other side is salted.
 SALTS = 8
-#: Bound of the pairs from which the weights are learned.
-WEIGHT_PAIRS = 8_000
+#: Distinct names of a report are compared in blocks of about so many, their letters also word by word, as far as so many words.
+NAME_BLOCK, WORDS = 256, 4
 #: Posterior probability from which a scored pair is a match.
 MATCH_PROBABILITY = 0.9
 #: Share of matches among the pairs that agree on a looser key, before their names are compared.
@@ -130,33 +130,132 @@ def agreement(a: str | None, b: str | None) -> str:
     return "other"
 
 
-def learn_weights(normal: DataFrame) -> dict[str, dict[str, float]]:
-    """Log-odds of each level of agreement of entity and attribute in matches against non-matches.
+@lru_cache(maxsize=100_000)
+def _close(a: str, b: str) -> bool:
+    return agreement(a, b) == "close"
 
-    Matches: facts of a report with the same hash or the same normalised statement; non-matches: facts of a report that are
-    neighbours in the order of a hash. Both are bounded samples (WEIGHT_PAIRS) of which the pairs are consecutive rows, so no
-    group is paired with itself.
+
+@lru_cache(maxsize=20_000)
+def _traits(name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, int]:
+    """How often each letter occurs, in 32 bins, in the name and in each of its first words, without stops and marks of a cut word; these
+    words' initials; which of them are shortened; which to one or two letters, that none is misspelt of; the name's letters and its words."""
+    words = name.split()
+    letters, initials, short, tiny = np.zeros((1 + WORDS, 32), dtype=np.int32), np.zeros(WORDS, dtype=np.int32), np.zeros(WORDS, dtype=bool), np.zeros(WORDS, dtype=bool)
+    for k, w in enumerate(["".join(words), *words[:WORDS]]):
+        letters[k] = np.bincount(np.frombuffer(w.replace(".", "").replace("~", "").encode("utf-32-le"), dtype=np.uint32) & 31, minlength=32)
+    for k, w in enumerate(words[:WORDS]):
+        initials[k], short[k] = ord(w[0]), w.endswith(".")
+        tiny[k] = short[k] and len(w) <= 3 and w != "~."
+    return letters, initials, short, tiny, sum(len(w.rstrip(".")) for w in words), len(words)
+
+
+_MOST = np.array([names.allowed_edits(k) for k in range(18)])
+
+
+def close_pairs(left: list[str], right: list[str], within: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all pairs of a left with a right name whose agreement is ``close``; ``within``: both lists are the same, each pair once.
+
+    Before the alignment, letters are counted: a misspelling adds one letter at most that the other name lacks, and only a shortened
+    word, where names have as many words, may lack more letters than it has misspellings.
+    """
+    (a, first_a, short_a, tiny_a, size_a, n_a), (b, first_b, short_b, tiny_b, size_b, n_b) = (map(np.array, zip(*map(_traits, side), strict=True)) for side in (left, right))
+    apart = np.abs(a[:, None, 0] - b[None, :, 0]).sum(2)
+    over = (apart + a[:, 0].sum(1)[:, None] - b[:, 0].sum(1)[None, :]) // 2  # letters of the left name that the right one lacks
+    under = apart - over
+    most = _MOST[np.minimum(np.maximum.outer(size_a, size_b), len(_MOST) - 1)]
+    as_many = np.equal.outer(n_a, n_b)
+    maybe = np.where(as_many, np.minimum(over, under), np.maximum(over, under)) <= most
+    i, j = np.nonzero(np.triu(maybe, 1) if within else maybe)
+    more = a[i, 1:] - b[j, 1:]  # the same word by word
+    over, under = np.maximum(more, 0).sum(2), np.maximum(-more, 0).sum(2)
+    either, begin = np.maximum(over, under), first_a[i] != first_b[j]
+    least_a = np.where(short_a[i], over, either) + 9 * (tiny_a[i] & begin)
+    least_b = np.where(short_b[j], under, either) + 9 * (tiny_b[j] & begin)
+    least = np.minimum(least_a.sum(1), least_b.sum(1))
+    maybe = ~as_many[i, j] | (least <= most[i, j])
+    i, j = i[maybe], j[maybe]
+    hit = np.array([_close(*sorted((left[x], right[y]))) for x, y in zip(i, j, strict=True)], dtype=bool)
+    return i[hit], j[hit]
+
+
+def count_close(typed: DataFrame) -> DataFrame:
+    """``matches, field, close``: the pairs of facts under a key whose names are close; ``typed(matches, field, key, words, n)`` has the distinct names.
+
+    A key's names are compared block by block, each pair of blocks by itself, so that no key is gathered in one task.
+    """
+    typed = typed.filter("words <> ''")
+    key = ["matches", "field", "key"]
+    many = typed.groupBy(*key).agg(F.ceil(F.count("*") / NAME_BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
+    placed = typed.join(many, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("words"), F.col("blocks")).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).repartition(4 * typed.sparkSession.sparkContext.defaultParallelism, *key, "lo", "hi")
+    met = met.groupBy(*key, "lo", "hi").agg(F.collect_list(F.struct("words", "n", "own")).alias("names"))
+    met = met.filter(F.size("names") > 1).select("matches", "field", "lo", "hi", "names.words", "names.n", "names.own")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for matches, field, lo, hi, words, n, own in b.itertuples(index=False, name=None):
+                left, right = (np.flatnonzero(np.asarray(own) == k) for k in (lo, hi))
+                if len(left) and len(right):
+                    i, j = close_pairs([words[x] for x in left], [words[x] for x in right], lo == hi)
+                    n = np.asarray(n)
+                    out.append((matches, field, float((n[left[i]] * n[right[j]]).sum())))
+            yield pd.DataFrame(out, columns=["matches", "field", "close"])
+
+    return met.mapInPandas(count, "matches boolean, field string, close double").groupBy("matches", "field").agg(F.sum("close").alias("close"))
+
+
+FIELDS = ("entity", "attribute")
+
+
+def count_levels(normal: DataFrame) -> dict[str, dict[str, dict[str, float]]]:
+    """How many pairs of facts of a report agree on each level, by field: ``matches``, those with the same normalised statement, and ``others``.
+
+    All pairs count: equal names by their numbers, close ones by the numbers of each two distinct names of a report, the rest are others.
     """
-    rows = normal.filter("report is not null").select("fact_id", "report", "k_says", "entity_words", "attribute_words")
-    firsts = rows.groupBy("report", "k_says").agg(F.min(F.struct("fact_id", "entity_words", "attribute_words")).alias("a"), F.max(F.struct("fact_id", "entity_words", "attribute_words")).alias("b"))
-    same = hash_sample(firsts.filter("a.fact_id <> b.fact_id").withColumn("id", F.col("a.fact_id")), WEIGHT_PAIRS, "id").select("a", "b")
-    sample = hash_sample(rows, WEIGHT_PAIRS, "fact_id").toPandas().sort_values(["report", "fact_id"])  # a bounded sample
-    matches = [(r["a"]["entity_words"], r["b"]["entity_words"], r["a"]["attribute_words"], r["b"]["attribute_words"]) for r in same.collect()]
-    before = sample.shift(1)
-    apart = sample[(sample["report"] == before["report"]) & (sample["k_says"] != before["k_says"])]
-    others = [(e, before.at[i, "entity_words"], a, before.at[i, "attribute_words"]) for i, e, a in zip(apart.index, apart["entity_words"], apart["attribute_words"], strict=True)]
-    out: dict[str, dict[str, float]] = {}
-    for field, k in (("entity", 0), ("attribute", 2)):
-        m = {level: 1.0 for level in LEVELS}
-        u = {level: 1.0 for level in LEVELS}
-        for pairs, count in ((matches, m), (others, u)):
-            for p in pairs:
-                count[agreement(p[k], p[k + 1])] += 1
-        out["count"] = {"matches": float(len(matches))}
+    where = ["report", "k_says"]
+    spelt = normal.filter("report is not null").groupBy(*where, *[f"{f}_words" for f in FIELDS]).agg(F.count("*").cast("double").alias("n"))
+    spelt = materialize(spelt, "spellings")
+    crowded = spelt.groupBy(*where).agg(F.sum("n").alias("all")).filter("all > 1").select(*where)
+    field = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_words").alias("words")) for f in FIELDS])).alias("f")
+    parts = spelt.select(F.lit(False).alias("matches"), F.col("report").alias("key"), "n", field)
+    parts = parts.unionByName(spelt.join(crowded, where, "left_semi").select(F.lit(True).alias("matches"), F.xxhash64(*where).alias("key"), "n", field))
+    typed = materialize(parts.groupBy("matches", "f.field", "key", "f.words").agg(F.sum("n").alias("n")), "typed")
+    pairs = lambda n: F.sum(F.col(n) * (F.col(n) - 1) / 2)
+    sums = typed.groupBy("matches", "field", "key").agg(F.sum("n").alias("all"), pairs("n").alias("same")).groupBy("matches", "field").agg(pairs("all").alias("all"), F.sum("same").alias("same"))
+    got = {(r["matches"], r["field"]): r for r in sums.join(count_close(typed), ["matches", "field"], "left").collect()}  # four rows
+    out: dict[str, dict[str, dict[str, float]]] = {}
+    for f in FIELDS:
+        held = {}
+        for matches in (True, False):
+            r = got.get((matches, f))
+            same, close, every = (r["same"], r["close"] or 0.0, r["all"]) if r else (0.0, 0.0, 0.0)
+            held[matches] = {"same": same, "close": close, "other": every - same - close}
+        out[f] = {"matches": held[True], "others": {level: held[False][level] - held[True][level] for level in LEVELS}}
+    return out
+
+
+def weights_of(counts: dict[str, dict[str, dict[str, float]]]) -> dict:
+    """Log-odds of each level of agreement of entity and attribute in matches against non-matches, and the counts that they come from."""
+    out: dict = {"counts": counts}
+    for field, held in counts.items():
+        m, u = ({level: 1.0 + held[side][level] for level in LEVELS} for side in ("matches", "others"))
         out[field] = {level: math.log(m[level] / sum(m.values())) - math.log(u[level] / sum(u.values())) for level in LEVELS}
     return out
 
 
+def learn_weights(normal: DataFrame) -> dict:
+    return weights_of(count_levels(normal))
+
+
+def with_counts(held: dict | None, new: dict) -> dict:
+    """The weights from the counts of both; weights without counts give way to new ones."""
+    if not held or "counts" not in held or "counts" not in new:
+        return new
+    return weights_of({f: {side: {level: held["counts"][f][side][level] + n for level, n in levels.items()} for side, levels in sides.items()} for f, sides in new["counts"].items()})
+
+
 def score_pair(weights: dict[str, dict[str, float]], entities: tuple[str | None, str | None], attributes: tuple[str | None, str | None]) -> float:
     """Posterior probability that two facts which agree on everything else state the same."""
     return posterior(weights, {"entity": agreement(*entities), "attribute": agreement(*attributes)})
@@ -207,7 +306,7 @@ class History:
 
         self.spark = spark
         self.path = path or f"{work_dir(spark)}/factloom/history-{uuid.uuid4().hex}"
-        self.weights: dict[str, dict[str, float]] | None = None
+        self.weights: dict | None = None
         self.batches, self.buckets = 0, buckets
         self.merged: list[int] = []  # the batches that merged clusters
         held = self._manifest()
@@ -224,11 +323,19 @@ class History:
             return None
         return json.loads(self.spark.read.option("wholetext", "true").text(p.toString()).first()[0])
 
-    def commit(self, merged: bool) -> None:
-        """Makes the batch that was written count."""
+    def commit(self, merged: bool, learned: dict | None = None) -> None:
+        """Makes the batch that was written count, and the weights learned from it."""
+        self.weights = learned or self.weights
         if merged:
             self.merged.append(self.batches)
         self.batches += 1
+        self._write_manifest()
+
+    def keep(self, weights: dict) -> None:
+        self.weights = weights
+        self._write_manifest()
+
+    def _write_manifest(self) -> None:
         part, fs = self._file("manifest.part")
         out = fs.create(part, True)
         out.write(bytearray(json.dumps({"batches": self.batches, "buckets": self.buckets, "weights": self.weights, "merged": self.merged}).encode()))
@@ -290,20 +397,20 @@ def _settle(combos: DataFrame, keys: DataFrame) -> DataFrame:
     return out
 
 
-def link_batch(history: History, normal: DataFrame) -> DataFrame:
+def link_batch(history: History, normal: DataFrame, weights: dict | None = None) -> DataFrame:
     """Checks a batch of facts in normal form (:func:`normalise`) against the history and against itself, and adds it to the history.
 
     Returns ``fact_id, accepted_id``: each repeat with every accepted fact that it repeats (one by hash and one by
     statement may differ). Facts that the history has seen under their id are deliveries of the same fact and are left out. An empty
-    batch changes nothing. The batch's ``ingest_seq`` must lie after the history's.
+    batch changes nothing. The batch's ``ingest_seq`` must lie after the history's. Without ``weights`` they come from all pairs of facts that
+    arrived in one batch, this one's and the earlier ones', whose counts the manifest keeps.
     """
     normal = normal.withColumn("bucket", F.coalesce(F.pmod(F.xxhash64("report"), F.lit(history.buckets)), F.lit(0)).cast("int"))
     buckets = [r[0] for r in normal.select("bucket").distinct().collect()] if history.batches else []  # as many rows as there are buckets at most
     if history.batches:  # a fact that comes again comes with its report
         normal = materialize(normal.join(history.read("clusters", buckets).select("fact_id"), "fact_id", "left_anti"), "batch")
-    weights = history.weights or learn_weights(normal)
-    if weights.get("count", {"matches": ENOUGH_PAIRS})["matches"] >= ENOUGH_PAIRS:
-        history.weights = weights
+    learned = with_counts(history.weights, learn_weights(normal)) if weights is None else None
+    weights = weights or learned
     # Copies with the same keys are one combo, which its first fact stands for.
     grouped = normal.filter("report is not null").groupBy("report", "k_hash", "k_says").agg(F.min(F.struct("seq", "fact_id", "k_no_entity", "k_no_attribute", *NAMES, "listed", "bucket")).alias("f"))
     combos = materialize(grouped.select("report", "k_hash", "k_says", "f.*", F.xxhash64("report", F.coalesce("k_hash", F.lit(0)), "k_says").alias("combo")), "combos")
@@ -359,7 +466,7 @@ def link_batch(history: History, normal: DataFrame) -> DataFrame:
     members = _salt(normal.filter("report is not null").select("fact_id", "seq", F.xxhash64("report", F.coalesce("k_hash", F.lit(0)), "k_says").alias("combo")), "fact_id")
     pairs, _ = write_work(members.join(_salted(targets), ["combo", "salt"]).filter("accepted_seq < seq and accepted_id <> fact_id").select("fact_id", "accepted_id", "accepted_seq").distinct(), "repeats")
     kept = combos.join(accepted, "combo", "left_semi").drop(*NAMES)
-    _remember(history, normal, kept.join(spelt.select("report", "k_says", *NAMES), ["report", "k_says"]), pairs)
+    _remember(history, normal, kept.join(spelt.select("report", "k_says", *NAMES), ["report", "k_says"]), pairs, learned)
     return pairs.select("fact_id", "accepted_id")
 
 
@@ -368,7 +475,7 @@ def _touched(old_keys: DataFrame, keys: DataFrame) -> DataFrame:
     return old_keys.join(keys.select("report", "key").distinct(), ["report", "key"], "left_semi")
 
 
-def _remember(history: History, normal: DataFrame, accepted: DataFrame, pairs: DataFrame) -> None:
+def _remember(history: History, normal: DataFrame, accepted: DataFrame, pairs: DataFrame, learned: dict | None) -> None:
     history.append("classes", accepted)
     chosen = pairs.groupBy("fact_id").agg(F.min_by("accepted_id", "accepted_seq").alias("representative"))
     history.append("clusters", normal.select("fact_id", "bucket").join(chosen, "fact_id", "left").select("fact_id", F.coalesce("representative", "fact_id").alias("representative"), "bucket"))
@@ -382,7 +489,7 @@ def _remember(history: History, normal: DataFrame, accepted: DataFrame, pairs: D
         joined = materialize(star_components(ends.filter("u <> v")), "joined")
         moved = known.join(joined.select(F.col("member").alias("root"), F.col("root").alias("to")), "root").select("member", F.col("to").alias("root"))
         history.append("merges", joined.unionByName(moved).groupBy("member").agg(F.min("root").alias("root")))
-    history.commit(some)
+    history.commit(some, learned)
 
 
 def clusters(history: History) -> DataFrame:
@@ -396,7 +503,7 @@ def clusters(history: History) -> DataFrame:
 def link_all(facts: DataFrame, entities: DataFrame, attributes: DataFrame, unit_catalog: DataFrame, steps: int = 3, path: str | None = None) -> tuple[DataFrame, History]:
     """Feeds a table of facts batch by batch, in ``steps`` runs of consecutive batch numbers, through :func:`link_batch`.
 
-    The result does not depend on ``steps``, but for near pairs that only a later run's spelling of an accepted fact would link. Null batch numbers come first. An empty table gives an empty result.
+    The weights come from all pairs of facts of the table and, of a history opened again, the counts that it holds. The result does not depend on ``steps``, but for near pairs that only a later run's spelling of an accepted fact would link. Null batch numbers come first. An empty table gives an empty result.
     """
     history = History(facts.sparkSession, path)
     batch_of = facts.groupBy("fact_id").agg(F.min_by("batch_no", "ingest_seq").alias("batch_no"))
@@ -404,11 +511,14 @@ def link_all(facts: DataFrame, entities: DataFrame, attributes: DataFrame, unit_
     bounds = normal.agg(F.min("batch_no").alias("lo"), F.max("batch_no").alias("hi")).first()
     lo, hi = (bounds["lo"], bounds["hi"]) if bounds["lo"] is not None else (0, 0)
     number = F.coalesce(F.col("batch_no"), F.lit(lo))
+    fresh = normal.join(history.read("clusters").select("fact_id"), "fact_id", "left_anti") if history.batches else normal
+    weights = with_counts(history.weights, learn_weights(fresh))
     starts = sorted({lo + (hi + 1 - lo) * k // steps for k in range(steps)})
     out = None
     for start, end in zip(starts, [*starts[1:], hi + 1], strict=True):
-        found = link_batch(history, normal.filter((number >= start) & (number < end)).drop("batch_no"))
+        found = link_batch(history, normal.filter((number >= start) & (number < end)).drop("batch_no"), weights)
         out = found if out is None else out.unionByName(found)
+    history.keep(weights)
     return out, history
 
 

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -121,3 +122,40 @@ def test_unlisted_name_against_the_name_on_the_list():
     assert history.field_agreement(("#1", "loa", "leased office area"), ("leased ofice area", "leased ofice area", None)) == "close"
     assert history.field_agreement(("#1", "loa", "leased office area"), ("#2", "leased ofice area", "leased office rent")) == "other"
     assert history.field_agreement(("#1", "loa", "leased office area"), ("#1", "total leased office area", "leased office area")) == "same"
+
+
+def test_weights_count_every_pair(spark, monkeypatch):
+    """Names in several blocks, copies, shortened, misspelt and blank names: the counts are those of all pairs of a report, one by one."""
+    monkeypatch.setattr(history, "NAME_BLOCK", 4, raising=False)
+    r = random.Random(7)
+    entities = ["beryan motors", "beyran motors", "bery. motors", "beryanmotors", "zoldreavia ports authority", "zold. port. auth.", "zoldreavia prots authority", "loa", "lao", "", "~. ports authority", "größe motors", "grösse motors"]
+    attributes = ["total income", "totl income", "tota. inco.", "gross margin", "profit after tax", "prof. afte. tax", "profit afer tax", "pat", "?"]
+    rows = [(f"f{i:03}", None if i % 40 == 7 else i % 9 // 4, r.randrange(25), r.choice(entities), r.choice(attributes)) for i in range(150)]
+    want = {f: {side: dict.fromkeys(history.LEVELS, 0.0) for side in ("matches", "others")} for f in ("entity", "attribute")}
+    for k, (_, report, says, *a) in enumerate(rows):
+        for _, other, said, *b in rows[:k]:
+            if report is not None and report == other:
+                for f, x, y in zip(("entity", "attribute"), a, b, strict=True):
+                    want[f]["matches" if says == said else "others"][history.agreement(x, y)] += 1
+    normal = spark.createDataFrame(rows, "fact_id string, report bigint, k_says bigint, entity_words string, attribute_words string")
+    got = history.learn_weights(normal)
+    for f, sides in want.items():
+        m, u = ({level: n + 1 for level, n in sides[side].items()} for side in ("matches", "others"))
+        for level in history.LEVELS:
+            assert got[f][level] == pytest.approx(math.log(m[level] / sum(m.values()) / (u[level] / sum(u.values())))), (f, level)
+    assert got["counts"] == want
+
+
+def test_weights_of_the_whole_table(spark, tmp_path):
+    """All runs are scored with weights from all facts; batches given one by one add their pairs, deliveries add none."""
+    rows = [fact(i, entity="Wexoston Media" if i % 3 else "Wexoston Mdia", attribute="Total Income" if i % 2 else "Profit After Tax", value=f"{i % 4} crore", batch=i // 4) for i in range(24)]
+    facts = spark.createDataFrame(rows, SCHEMA)
+    weights = [history.link_all(facts, *lists(spark), steps=steps, path=str(tmp_path / f"h{steps}"))[1].weights for steps in (1, 3)]
+    normal = history.normalise(facts, *lists(spark))
+    assert weights[0] == weights[1] == history.learn_weights(normal) == history.History(spark, str(tmp_path / "h3")).weights
+    assert sum(weights[0]["counts"]["entity"]["matches"].values()) + sum(weights[0]["counts"]["entity"]["others"].values()) == 24 * 23 / 2
+    path = str(tmp_path / "batches")
+    for part in (normal.filter("seq < 10"), normal.filter("seq >= 10"), normal.filter("seq < 10")):
+        history.link_batch(history.History(spark, path), part)
+    counts = history.History(spark, path).weights["counts"]
+    assert sum(sum(n for n in side.values()) for side in counts["attribute"].values()) == 10 * 9 / 2 + 14 * 13 / 2
